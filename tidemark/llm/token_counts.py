@@ -14,6 +14,7 @@ Null or empty text: 0 bytes, 0 tokens. One row a row of input, repeated rows inc
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -84,9 +85,9 @@ def unit_counter(path: str):
 _workers: dict = {}
 
 
-def _worker(path: str, packed):
-    """This worker's library and cache, kept between tasks."""
-    key = (path, packed.id if packed is not None else None)
+def _worker(path: str, packed, name: str):
+    """This worker's library and cache, kept between tasks of the same table."""
+    key = (path, name)
     if key not in _workers:
         _workers.clear()
         cache = None
@@ -142,9 +143,10 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 512, tab
     """
     path = path or tokenizer_path("byte_bpe_50k.json")
     packed = frequent_units(docs, path, table_size) if separable(path) else None
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, cache = _worker(path, packed)
+        count, cache = _worker(path, packed, name)
         for b in batches:
             n = count_texts(texts(b), count, cache)
             size = pc.fill_null(pc.cast(pc.binary_length(b.column(1)), pa.int64()), 0)
