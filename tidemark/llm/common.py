@@ -26,7 +26,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-"))
-    return df.checkpoint()
+    out = df.checkpoint()
+    # Spark drops the shuffle files of what came before once the driver's JVM has collected their handles.
+    sc._jvm.System.gc()
+    return out
 
 
 def parts(spark: SparkSession) -> int:

@@ -207,9 +207,9 @@ def plan(w: int = WINDOW) -> Plan:
     return Plan(w, w // 2, symbols, slices)
 
 
-def dedup(docs: DataFrame, w: int = WINDOW, hot: int = HOT) -> DataFrame:
-    """(doc_id, text, runs): every document with the ranges of windows that start in a smaller document too."""
-    rows, p = identified(docs), plan(w)
+def dedup(docs: DataFrame, w: int = WINDOW, hot: int = HOT, rest: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, rest, runs): every document with the ranges of windows that start in a smaller document too."""
+    rows, p = identified(docs, rest), plan(w)
     found = repeated_segments(rows, p, across=True)
     each = checkpointed(contents(found))
     several = with_bytes(rows, each.where("n_contents > 1"), p, "key long, content long, owner long, n_contents long")
@@ -248,11 +248,15 @@ def digests(found: DataFrame, w: int = WINDOW) -> DataFrame:
 
 
 def clean(docs: DataFrame, w: int = WINDOW) -> DataFrame:
-    """(doc_id, text): every document with the kept words joined by a space; texts that lose nothing stay as they are."""
+    """``docs`` with the kept words of each text joined by a space; texts that lose nothing stay as they are."""
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [t if not r else kept_words(t or "", r, w)[2].decode() for t, r in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield batch(("doc_id", "text"), ([None if x == NULL_ID else x for x in b.column(0).to_pylist()], out), (pa.int64(), pa.string()))
+            yield batch(["doc_id", "text", *(["rest"] if rest else [])], ([None if x == NULL_ID else x for x in b.column(0).to_pylist()], out, *([b.column(3)] if rest else [])), (pa.int64(), pa.string(), *([b.schema.types[3]] if rest else [])))
 
-    return dedup(docs, w).select("doc_id", "text", "runs").mapInArrow(run, "doc_id long, text string")
+    found = dedup(docs, w, rest=rest).select("doc_id", "text", "runs", *(["rest"] if rest else []))
+    kind = f", rest {found.schema['rest'].dataType.simpleString()}" if rest else ""
+    cleaned = found.mapInArrow(run, f"doc_id long, text string{kind}")
+    return cleaned.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])

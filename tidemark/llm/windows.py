@@ -121,9 +121,10 @@ def all_segments(docs: DataFrame, plan: Plan) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "key long, content long, doc_id long, first long, windows int")
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) with NULL_ID for a null doc_id."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+def identified(docs: DataFrame, rest: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, rest) with NULL_ID for a null doc_id; ``rest`` is a struct of columns to carry along."""
+    carried = [F.struct(*[F.col(c) for c in rest]).alias("rest")] if rest else []
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
 
 
 def repeated_segments(docs: DataFrame, plan: Plan, across: bool) -> DataFrame:
@@ -163,7 +164,7 @@ def with_bytes(docs: DataFrame, wanted: DataFrame, plan: Plan, columns: str) ->
             schema = {c.split()[0]: kinds[c.split()[1]] for c in columns.split(", ")}
             yield batch([*names, "windows", "data"], [*[[r[n] for r in rows] for n in names], [r["windows"] for r in rows], data], [*schema.values(), pa.int32(), pa.binary()])
 
-    return docs.join(lists, "doc_id").select("text", "wanted").mapInArrow(run, f"{columns}, windows int, data binary")
+    return docs.select("doc_id", "text").join(lists, "doc_id").select("text", "wanted").mapInArrow(run, f"{columns}, windows int, data binary")
 
 
 def true_runs(flags: np.ndarray) -> list[tuple[int, int]]:
