@@ -39,7 +39,7 @@ from tidemark.llm.windows import Hashes, mix
 
 WORDS, PERCENT, BAND = 5, 80, 1.6
 #: Sets of a block of the exact join; signatures that a task holds before it sends them on.
-BLOCK, HELD = 1024, 4_000_000
+BLOCK, HELD = 4096, 1_000_000
 #: Frequent shingles: of a task, of all (8 bytes each in a broadcast), and how often one has to be seen.
 HOT_TASK, HOT, HOT_LEAST = 1 << 15, 1 << 16, 32
 REMEMBERED = 500_000
@@ -117,7 +117,7 @@ def signatures(x: np.ndarray, hot: np.ndarray | None = None, percent: int = PERC
 
     Very frequent shingles would give unrelated sets common signatures. Leaving any fixed elements ``hot`` (sorted) out of
     the domain only lowers differences, so first the others sign alone. Where they fill too few partitions to be sure, they
-    sign by four times as many; where even that is too few, the set is nearly all hot, and the whole of it signs. Of two
+    sign by twice as many; where even that is too few, the set is nearly all hot, and the whole of it signs. Of two
     similar sets, either one is sure at a step, and the other takes that step as well, or both go on.
     """
     n = len(x)
@@ -139,7 +139,7 @@ def signatures(x: np.ndarray, hot: np.ndarray | None = None, percent: int = PERC
         found, sure = enumerate_subsets(rare, salts[0], n1, n2, most, False)
         out.append(found)
         if not sure:
-            found, sure = enumerate_subsets(rare, salts[1], 4 * (k + 1), 1, most, False)
+            found, sure = enumerate_subsets(rare, salts[1], 2 * (k + 1), 1, most, False)
             out.append(found)
         if not sure:
             out.append(enumerate_subsets(x, salts[2], n1, n2, most, True)[0])
@@ -209,7 +209,7 @@ def stars(signature: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def candidate_edges(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, hot: np.ndarray | None = None) -> DataFrame:
     """(u, v), u > v: stars that connect all sets with a common signature."""
     frequent = docs.sparkSession.sparkContext.broadcast(hot)
-    names = ("signature", "v", "u")
+    names, types = ("signature", "v"), (pa.int64(), pa.int64())
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -222,11 +222,13 @@ def candidate_edges(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
             order = np.lexsort((v, s))
             s, v = s[order], v[order]
             lead, u, head = stars(s, v)
-            pairs = np.unique(np.stack([u, head], 1), axis=0) if len(u) else np.empty((0, 2), np.int64)
-            # Edges found here travel by a signature of their own, so that they spread; those rows have u.
-            spread = mix(pairs[:, 0].view(np.uint64) if len(pairs) else np.empty(0, np.uint64)).view(np.int64)
-            none = pa.nulls(int(lead.sum()), pa.int64())
-            return batch(names, (np.concatenate([s[lead].view(np.int64), spread]), np.concatenate([v[lead], pairs[:, 1]]), pa.concat_arrays([none, pa.array(pairs[:, 0], pa.int64())])), (pa.int64(),) * 3)
+            s, v = s[lead], v[lead]
+            if len(u):
+                # An edge found here travels as two rows with a signature of its own, so that edges spread.
+                pairs = np.unique(np.stack([u, head], 1), axis=0)
+                own = mix(mix(pairs[:, 0].view(np.uint64)) + pairs[:, 1].view(np.uint64))
+                s, v = np.concatenate([s, own, own]), np.concatenate([v, pairs[:, 0], pairs[:, 1]])
+            return batch(names, (s.view(np.int64), v), types)
 
         for b in batches:
             for text in b.column(0).to_pylist():
@@ -249,22 +251,15 @@ def candidate_edges(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         for b in batches:
             if not b.num_rows:
                 continue
-            u = b.column(2)
-            given = np.asarray(u.is_valid())
             s, v = b.column(0).to_numpy(), b.column(1).to_numpy()
-            pairs = [np.stack([np.asarray(u.fill_null(0))[given], v[given]], 1)]
-            s, v = s[~given], v[~given]
-            if len(s):
-                if last_s is not None and s[0] == last_s:
-                    s, v = np.concatenate([[last_s], s]), np.concatenate([[last_v], v])
-                lead, a, head = stars(s, v)
-                pairs.append(np.stack([a, head], 1))
-                last_s, last_v = s[-1], v[np.flatnonzero(lead)[-1]]
-            found = np.unique(np.concatenate(pairs), axis=0)
-            found = found[found[:, 0] != found[:, 1]]
-            yield batch(("u", "v"), (found.max(axis=1), found.min(axis=1)), (pa.int64(), pa.int64()))
-
-    signed = documents(docs).select("text").mapInArrow(sign, "signature long, v long, u long")
+            if last_s is not None and s[0] == last_s:
+                s, v = np.concatenate([[last_s], s]), np.concatenate([[last_v], v])
+            lead, u, head = stars(s, v)
+            last_s, last_v = s[-1], v[np.flatnonzero(lead)[-1]]
+            found = np.unique(np.stack([u, head], 1), axis=0)
+            yield batch(("u", "v"), (found.max(axis=1, initial=-(1 << 63)), found.min(axis=1, initial=(1 << 63) - 1)), types)
+
+    signed = documents(docs).select("text").mapInArrow(sign, "signature long, v long")
     met = signed.repartition("signature").sortWithinPartitions("signature", "v").mapInArrow(meet, "u long, v long")
     return checkpointed(met.distinct())
 
@@ -295,22 +290,27 @@ def similar(ids: list[int], contents: list[np.ndarray], side: np.ndarray, percen
     sizes = np.array([len(c) for c in contents], np.int64)
     every = np.concatenate(contents)
     row = np.repeat(np.arange(n), sizes)
-    u, column, count = np.unique(every, return_inverse=True, return_counts=True)
+    _, column, count = np.unique(every, return_inverse=True, return_counts=True)
     shared = count > 1
     keep = shared[column]
     row, column = row[keep], (np.cumsum(shared) - 1)[column[keep]]
     width = int(shared.sum())
-    common = np.zeros((n, n), np.float32)
-    for a in range(0, width, 4096):
-        part = (column >= a) & (column < a + 4096)
-        x = np.zeros((n, min(4096, width - a)), np.float32)
-        x[row[part], column[part] - a] = 1
-        common += x @ x.T
-    union = sizes[:, None] + sizes[None, :] - common
-    link = 100 * common.astype(np.int64) >= percent * union.astype(np.int64)
-    link &= np.triu(np.ones((n, n), bool), 1)
-    if side.any():
-        link &= side[:, None] != side[None, :]
+    # Rows against columns: one side against the other, or all against all.
+    left = np.flatnonzero(side == 0) if side.any() else np.arange(n)
+    right = np.flatnonzero(side) if side.any() else left
+    place = np.zeros(n, np.int64)
+    common = np.zeros((len(left), len(right)), np.float32)
+    for a in range(0, width, 2048):
+        part = (column >= a) & (column < a + 2048)
+        x = []
+        for members in dict.fromkeys((id(left), id(right))):
+            m = left if members == id(left) else right
+            place[:] = -1
+            place[m] = np.arange(len(m))
+            at = place[row[part]]
+            x.append(np.zeros((len(m), min(2048, width - a)), np.float32))
+            x[-1][at[at >= 0], column[part][at >= 0] - a] = 1
+        common += x[0] @ x[-1].T
     parent = list(range(n))
 
     def find(i: int) -> int:
@@ -320,11 +320,14 @@ def similar(ids: list[int], contents: list[np.ndarray], side: np.ndarray, percen
         return i
 
     out = []
-    for i, j in zip(*(k.tolist() for k in np.nonzero(link)), strict=True):
-        a, b = find(i), find(j)
-        if a != b:
-            parent[a] = b
-            out.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
+    for k, i in enumerate(left.tolist()):
+        # 100 * common >= percent * (a + b - common), in whole numbers.
+        link = (100 + percent) * common[k].astype(np.int64) >= percent * (sizes[i] + sizes[right])
+        for j in right[link].tolist():
+            a, b = find(i), find(j)
+            if a != b:
+                parent[a] = b
+                out.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
     return out
 
 
