@@ -46,7 +46,7 @@ def coerce(text: str) -> int | float | str:
 
 
 def shortest(x: float) -> str:
-    """A double in its shortest form: plain digits from 1e-4 up to 1e21, else with an exponent of two digits at least."""
+    """A double in its shortest form: plain digits from 1e-4 up to 1e6, else with an exponent of two digits at least."""
     if x != x:
         return "NaN"
     if x in (float("inf"), float("-inf")):
@@ -58,7 +58,7 @@ def shortest(x: float) -> str:
     sign, digits, exponent = Decimal(repr(x)).normalize().as_tuple()
     d = "".join(map(str, digits))
     point = len(d) + exponent
-    if -4 < point <= 21:
+    if -4 < point <= 6:
         body = d + "0" * (point - len(d)) if point >= len(d) else f"{d[:point]}.{d[point:]}" if point > 0 else "0." + "0" * -point + d
     else:
         e = point - 1

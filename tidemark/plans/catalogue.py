@@ -106,11 +106,6 @@ class Catalogue:
         s.last_ts = last if s.last_ts is None else max(last, s.last_ts)
         self.version += 1
 
-    def clash(self, source: str, labels: set[str], fields_: set[str]) -> set[str]:
-        """Names that would be label and field at once."""
-        s = self.known.get(source, SetInfo())
-        return (labels & fields_) | (labels & set(s.types)) | (fields_ & set(s.labels))
-
     def dumps(self) -> str:
         return json.dumps({"version": self.version, "sets": {k: asdict(v) for k, v in self.known.items()}}, sort_keys=True)
 
