@@ -23,7 +23,8 @@ def ingest_batch(store: Store, spec: Spec, profile: Profile, lines: DataFrame, y
     """Extracts (stream, ord, line[, labels]) and writes the samples of each set."""
     from tidemark.sources.checkpoints import checkpointed
 
-    samples = checkpointed(aggregated(extracted(lines, spec, profile, year), profile))
+    # Records are written once: filters on their outcome would otherwise carry the extraction down again and again.
+    samples = checkpointed(aggregated(checkpointed(extracted(lines, spec, profile, year)), profile))
     done = {}
     for r in samples.select("set").distinct().collect():
         keyed = spec.sets.get(r.set) is not None and spec.sets[r.set].key == "offset"
