@@ -3,8 +3,8 @@
 A text longer than a sequence is cut into whole sequences and one rest; only rests have to be packed. They are dealt at
 random into groups of bounded size. A group is packed best fit, longest first; then a local search over its underfull
 bins moves a document, exchanges one for one or two for one wherever that raises the sum of squared fills, until nothing
-does; bins run empty on the way. Bins with next to no room left are done. What lies in the others goes to the next round, in
-fewer groups, until one group holds all of it. So the rounds' work shrinks fast, no task holds more than ``GROUP`` documents, and
+does; bins run empty on the way. The emptiest quarter of the bins, where they have room, goes to the next round, in fewer
+groups, until one group holds all of it; the others are done. So the rounds' work shrinks fast, no task holds more than ``GROUP`` documents, and
 nothing is collected.
 
 Null or empty text: its end-of-text id alone, one piece of length 1. Repeated rows are packed each. Tables without rows
@@ -26,8 +26,8 @@ from tidemark.llm.units import UnitCache, together
 
 #: Tokens of a sequence, documents of a group, and bins that the local search empties at a time.
 CAPACITY, GROUP, SOURCES = 4096, 8192, 8
-#: A bin is done once its room is at most this share of a sequence; the rest is packed again in the next round.
-DONE = 1 / 1024
+#: One bin in REOPENED, the emptiest, is packed again in the next round, unless its room is at most a share DONE of it.
+REOPENED, DONE = 4, 1 / 1024
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECE}, sequence_id long, offset long"
 
@@ -221,7 +221,7 @@ def best_shift(source: list[int], to: list[int], sizes: list[int], room: int) ->
 
 
 def pack_groups(items: DataFrame, groups: int, capacity: int, level: int) -> DataFrame:
-    """One packing of each of ``groups`` even groups; ``done``: next to full, or of the only group."""
+    """One packing of each of ``groups`` even groups; ``done``: not among the emptiest, next to full, or of the only group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -232,9 +232,13 @@ def pack_groups(items: DataFrame, groups: int, capacity: int, level: int) -> Dat
         sizes = t.column("length").to_pylist()
         base = (level << 56) + (TaskContext.get().partitionId() << 24)
         order, sequence, offset, done = [], [], [], []
-        for i, bin_ in enumerate(pack(sizes, capacity)):
+        bins = pack(sizes, capacity)
+        fills = [sum(sizes[k] for k in b) for b in bins]
+        # The emptiest bins are packed again, so that what is left shrinks from round to round.
+        again = set() if groups == 1 else set(sorted(range(len(bins)), key=lambda i: (fills[i], i))[: -(-len(bins) // REOPENED)])
+        for i, bin_ in enumerate(bins):
             at = 0
-            full = groups == 1 or capacity - sum(sizes[k] for k in bin_) <= capacity * DONE
+            full = i not in again or capacity - fills[i] <= capacity * DONE
             for k in bin_:
                 order.append(k)
                 sequence.append(base + i)
