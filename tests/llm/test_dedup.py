@@ -103,3 +103,41 @@ def test_odd_rows(spark):
     assert got == [(1, 80, 0), (1, 80, 0), (2, 80, 80), (3, 0, 0), (99, 80, 80)]
     assert {r.doc_id: r.text for r in fm_dedup.clean(d).where("doc_id > 1").collect()} == {2: "", 3: None} and fm_dedup.clean(d).columns == d.columns
     assert fm_dedup.digests(fm_dedup.dedup(d.limit(0))).count() == 0 and suffix_dedup.digests(suffix_dedup.dedup(d.limit(0))).count() == 0
+
+
+def rows_by_text(rows, w, across):
+    """(doc_id, text, removed symbols, kept) of each row: brute force in which every row stands for itself; null is greatest."""
+    split = str.split if across else str.encode
+    where = defaultdict(list)
+    for i, t in rows:
+        x = split(t)
+        for k in range(len(x) - w + 1):
+            where[tuple(x[k : k + w])].append(float("inf") if i is None else i)
+    out = []
+    for i, t in rows:
+        x = split(t)
+        gone = [False] * len(x)
+        for k in range(len(x) - w + 1):
+            at = where[tuple(x[k : k + w])]
+            if min(at) < (float("inf") if i is None else i) if across else len(at) > 1:
+                gone[k : k + w] = [True] * w
+        kept = [a for a, g in zip(x, gone, strict=True) if not g]
+        out.append((str(i), sum(gone), hashlib.sha256(" ".join(kept).encode() if across else bytes(kept)).hexdigest()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("hot", [4096, 1])
+def test_rows_that_share_an_id_or_have_none(spark, hot):
+    def words(name, n):
+        return " ".join(f"{name}{k}" for k in range(n))
+
+    rng = random.Random(5)
+    rows = [(1, words("p", 100)), (None, words("p", 100) + " " + words("a", 60)), (None, words("b", 100)), (7, words("c", 120)), (7, words("p", 100)), (7, words("d", 130)), (7, words("d", 130))]
+    rows += [(rng.choice([None, 3, 4, 900]), t) for _, t in corpus(6) if t]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = fm_dedup.digests(fm_dedup.dedup(d, hot=hot)).collect()
+    assert sorted((str(r.doc_id), r.n_removed, r.kept_sha256) for r in got) == rows_by_text(rows, 50, True)
+    got = suffix_dedup.digests(suffix_dedup.dedup(d, hot=hot)).collect()
+    assert sorted((str(r.doc_id), r.n_removed, r.kept_sha256) for r in got) == rows_by_text(rows, 400, False)
+    # In the pipeline no row may lose words that stand nowhere else.
+    assert words("b", 100) in [r.text for r in fm_dedup.clean(d).where("doc_id is null").collect()]

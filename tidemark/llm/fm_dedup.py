@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import batch, checkpointed
-from tidemark.llm.windows import NULL_ID, Plan, contents, coverage, identified, removed, repeated_segments, true_runs, with_bytes
+from tidemark.llm.windows import NULL_ID, ROW, Plan, contents, coverage, identified, removed, repeated_segments, true_runs, with_bytes
 
 WINDOW, GRAM = 50, 25
 #: Words of a shard. Contents of a key stay in one shard up to HOT of them; keys with more go by window instead.
@@ -220,9 +220,9 @@ def dedup(docs: DataFrame, w: int = WINDOW, hot: int = HOT, rest: tuple[str, ...
     lists = parts.groupBy("key", "content").agg(F.collect_list(F.struct("a", "b")).alias("parts"))
     info = checkpointed(each.select("key", "content", "owner").join(lists, ["key", "content"], "left"))
     seen = found.join(info, ["key", "content"])
-    whole = seen.where(F.col("doc_id") > F.col("owner")).select("doc_id", F.col("first").alias("a"), (F.col("first") + F.col("windows")).alias("b"))
-    some = seen.where((F.col("doc_id") == F.col("owner")) & F.col("parts").isNotNull()).select("doc_id", "first", F.explode("parts").alias("x"))
-    ranges = whole.unionByName(some.select("doc_id", (F.col("first") + F.col("x.a")).alias("a"), (F.col("first") + F.col("x.b")).alias("b")))
+    whole = seen.where(F.col("doc_id") > F.col("owner")).select(*ROW, F.col("first").alias("a"), (F.col("first") + F.col("windows")).alias("b"))
+    some = seen.where((F.col("doc_id") == F.col("owner")) & F.col("parts").isNotNull()).select(*ROW, "first", F.explode("parts").alias("x"))
+    ranges = whole.unionByName(some.select(*ROW, (F.col("first") + F.col("x.a")).alias("a"), (F.col("first") + F.col("x.b")).alias("b")))
     return removed(rows, ranges)
 
 

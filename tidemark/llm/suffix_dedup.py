@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import batch, checkpointed
-from tidemark.llm.windows import NULL_ID, Hashes, Plan, contents, coverage, identified, mix, removed, repeated_segments, true_runs, with_bytes
+from tidemark.llm.windows import NULL_ID, ROW, Hashes, Plan, contents, coverage, identified, mix, removed, repeated_segments, true_runs, with_bytes
 
 WINDOW, GRAM = 400, 200
 #: Bytes of contents that are ranked together. Keys with more than HOT contents go by window instead.
@@ -135,9 +135,9 @@ def dedup(docs: DataFrame, w: int = WINDOW, hot: int = HOT) -> DataFrame:
     lists = parts.groupBy("key", "content").agg(F.collect_list(F.struct("a", "b")).alias("parts"))
     info = checkpointed(each.select("key", "content", "n").join(lists, ["key", "content"], "left").where("n > 1 or parts is not null"))
     seen = found.join(info, ["key", "content"])
-    whole = seen.where("n > 1").select("doc_id", F.col("first").alias("a"), (F.col("first") + F.col("windows")).alias("b"))
-    some = seen.where("n = 1").select("doc_id", "first", F.explode("parts").alias("x"))
-    ranges = whole.unionByName(some.select("doc_id", (F.col("first") + F.col("x.a")).alias("a"), (F.col("first") + F.col("x.b")).alias("b")))
+    whole = seen.where("n > 1").select(*ROW, F.col("first").alias("a"), (F.col("first") + F.col("windows")).alias("b"))
+    some = seen.where("n = 1").select(*ROW, "first", F.explode("parts").alias("x"))
+    ranges = whole.unionByName(some.select(*ROW, (F.col("first") + F.col("x.a")).alias("a"), (F.col("first") + F.col("x.b")).alias("b")))
     return removed(rows, ranges)
 
 

@@ -9,8 +9,9 @@ with the same anchor. So windows only have to be compared within the segments of
 - only where a key has segments of different contents (where copies begin, end or differ) are the windows themselves
   compared, once for each content, by an operator's resolve().
 
-Rows of the same doc_id count as one document: what is found at a position in one of them is removed in each. A null
-doc_id counts as the greatest. All shuffles carry hashes and positions, but for the contents of the last kind.
+A row is known by its doc_id and a hash of its text, so that rows that share a doc_id, or have none, are each looked at
+and cut alone; the doc_id itself only tells who is smaller. A null doc_id counts as the greatest. All shuffles carry
+hashes and positions, but for the contents of the last kind.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import batch, checkpointed
 
 NULL_ID = (1 << 63) - 1
+#: What a row is known by.
+ROW = ["doc_id", "row"]
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: Windows of a document that are handled at once.
@@ -98,33 +101,34 @@ class Plan:
 
 
 def all_segments(docs: DataFrame, plan: Plan) -> DataFrame:
-    """(key, content, doc_id, first, windows) of every document (doc_id, text)."""
+    """(key, content, doc_id, row, first, windows) of every document (doc_id, row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, types = ("key", "content", "doc_id", "first", "windows"), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+        names, types = ("key", "content", "doc_id", "row", "first", "windows"), (*(pa.int64(),) * 5, pa.int32())
         for b in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], [], [], []]
             size = 0
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc, row, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 if not text:
                     continue
                 for key, content, first, windows in segments(plan.symbols(text), plan.w, plan.k):
-                    for c, x in zip(out, (key, content, np.full(len(key), doc, np.int64), first, windows.astype(np.int32)), strict=True):
+                    for c, x in zip(out, (key, content, np.full(len(key), doc, np.int64), np.full(len(key), row, np.int64), first, windows.astype(np.int32)), strict=True):
                         c.append(x)
                     size += len(key)
                 if size > 200_000:
                     yield batch(names, [np.concatenate(c) for c in out], types)
-                    out, size = [[], [], [], [], []], 0
+                    out, size = [[], [], [], [], [], []], 0
             if size:
                 yield batch(names, [np.concatenate(c) for c in out], types)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, content long, doc_id long, first long, windows int")
+    return docs.select(*ROW, "text").mapInArrow(run, "key long, content long, doc_id long, row long, first long, windows int")
 
 
 def identified(docs: DataFrame, rest: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, text, rest) with NULL_ID for a null doc_id; ``rest`` is a struct of columns to carry along."""
+    """(doc_id, row, text, rest) with NULL_ID for a null doc_id; ``rest`` is a struct of columns to carry along."""
     carried = [F.struct(*[F.col(c) for c in rest]).alias("rest")] if rest else []
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
+    text = F.col("text").cast("string")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"), *carried)
 
 
 def repeated_segments(docs: DataFrame, plan: Plan, across: bool) -> DataFrame:
@@ -139,32 +143,36 @@ def repeated_segments(docs: DataFrame, plan: Plan, across: bool) -> DataFrame:
 
 def contents(segments_: DataFrame) -> DataFrame:
     """One row a content of each key: where it stands first, how often it occurs, and how many contents its key has."""
-    each = segments_.groupBy("key", "content").agg(F.min(F.struct("doc_id", "first")).alias("at"), F.count("*").alias("n"), F.max("windows").alias("windows"))
-    each = checkpointed(each.select("key", "content", F.col("at.doc_id").alias("owner"), F.col("at.first").alias("first"), "n", "windows"))
+    each = segments_.groupBy("key", "content").agg(F.min(F.struct(*ROW, "first")).alias("at"), F.count("*").alias("n"), F.max("windows").alias("windows"))
+    each = checkpointed(each.select("key", "content", F.col("at.doc_id").alias("owner"), F.col("at.row").alias("row"), F.col("at.first").alias("first"), "n", "windows"))
     many = each.groupBy("key").agg(F.count("*").alias("n_contents")).where("n_contents > 1")
     return each.join(checkpointed(many), "key", "left")
 
 
 def with_bytes(docs: DataFrame, wanted: DataFrame, plan: Plan, columns: str) -> DataFrame:
-    """``wanted`` (owner, first, windows, and ``columns``) with ``data``: the symbols of each segment as bytes.
+    """``wanted`` (owner, row, first, windows, and ``columns``) with ``data``: the symbols of each segment as bytes.
 
-    ``columns`` is the schema of what is carried along; its names are those of ``wanted``.
+    ``columns`` is the schema of what is carried along; its names are those of ``wanted``. Of equal rows one gives the bytes.
     """
     names = [c.split()[0] for c in columns.split(", ")]
-    lists = wanted.groupBy(F.col("owner").alias("doc_id")).agg(F.collect_list(F.struct("first", "windows", *names)).alias("wanted"))
+    lists = wanted.groupBy(F.col("owner").alias("doc_id"), "row").agg(F.collect_list(F.struct("first", "windows", *names)).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # a join leaves equal rows next to each other, mostly; resolve() may meet a content twice
         for b in batches:
             rows: list[dict] = []
             data: list[bytes] = []
-            for text, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc, row, text, want in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                if (doc, row) == last:
+                    continue
+                last = doc, row
                 data += plan.slices(text or "", [(x["first"], x["windows"] + plan.w - 1) for x in want])
                 rows += want
             kinds = {"long": pa.int64(), "int": pa.int32()}
             schema = {c.split()[0]: kinds[c.split()[1]] for c in columns.split(", ")}
             yield batch([*names, "windows", "data"], [*[[r[n] for r in rows] for n in names], [r["windows"] for r in rows], data], [*schema.values(), pa.int32(), pa.binary()])
 
-    return docs.select("doc_id", "text").join(lists, "doc_id").select("text", "wanted").mapInArrow(run, f"{columns}, windows int, data binary")
+    return docs.select(*ROW, "text").join(lists, ROW).select(*ROW, "text", "wanted").mapInArrow(run, f"{columns}, windows int, data binary")
 
 
 def true_runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -184,6 +192,7 @@ def coverage(n: int, runs: list, extra: int) -> np.ndarray:
 
 
 def removed(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(doc_id, text, runs): every document with the window ranges (doc_id, a, b) found in it."""
-    lists = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
-    return docs.join(lists, "doc_id", "left")
+    """(doc_id, text, runs): every document with the window ranges (doc_id, row, a, b) found in it."""
+    # A set: equal rows bring the same ranges each.
+    lists = ranges.groupBy(*ROW).agg(F.collect_set(F.struct("a", "b")).alias("runs"))
+    return docs.join(lists, ROW, "left").drop("row")
