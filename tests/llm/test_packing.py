@@ -38,3 +38,31 @@ def test_sequences(spark):
     total = sum(r.length for r in got)
     assert len(bins) <= -(-total // 4096) + 1
     assert best_fit(d.limit(0)).count() == 0
+
+
+def gains(bins, sizes, capacity):
+    """Whether a move, a one-for-one or a two-for-one exchange between two bins raises the sum of squared fills."""
+    from itertools import combinations
+
+    for a in bins:
+        for b in bins:
+            if a is not b:
+                f, g = sum(sizes[k] for k in b), sum(sizes[k] for k in a)
+                for n, m in ((1, 0), (1, 1), (2, 1), (1, 2)):
+                    for x in combinations(a, n):
+                        for y in combinations(b, m):
+                            d = sum(sizes[k] for k in x) - sum(sizes[k] for k in y)
+                            if f + d <= capacity and 0 <= g - d <= capacity and (f + d) ** 2 + (g - d) ** 2 > f * f + g * g:
+                                return True
+    return False
+
+
+def test_search_goes_past_stuck_bins():
+    sizes = [2900] * 8 + [1500] * 6 + [1296] * 12
+    assert len(pack(sizes)) == 14
+    for seed in range(30):
+        rng = random.Random(seed)
+        sizes = [rng.randint(15, 60) for _ in range(50)]
+        bins = pack(sizes, 100)
+        assert sorted(k for b in bins for k in b) == list(range(50)) and all(sum(sizes[k] for k in b) <= 100 for b in bins)
+        assert sum(100 - sum(sizes[k] for k in b) for b in bins) < 100 or not gains(bins, sizes, 100)

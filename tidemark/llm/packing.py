@@ -1,7 +1,7 @@
 """Best-fit packing of token sequences with swap-based local search (operator 5).
 
 A text longer than a sequence is cut into whole sequences and one rest; only rests have to be packed. They are dealt at
-random into groups of bounded size. A group is packed best fit, longest first; then a local search over its underfull
+random into groups of bounded size. A group is packed best fit, longest first; then a local search over all its underfull
 bins moves a document, exchanges one for one or two for one wherever that raises the sum of squared fills, until nothing
 does; bins run empty on the way. The emptiest quarter of the bins, where they have room, goes to the next round, in fewer
 groups, until one group holds all of it; the others are done. So the rounds' work shrinks fast, no task holds more than ``GROUP`` documents, and
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import batch, checkpointed, documents, texts, tokenizer_path
 from tidemark.llm.units import UnitCache, together
 
-#: Tokens of a sequence, documents of a group, and bins that the local search empties at a time.
-CAPACITY, GROUP, SOURCES = 4096, 8192, 8
+#: Tokens of a sequence, and documents of a group.
+CAPACITY, GROUP = 4096, 8192
 #: One bin in REOPENED, the emptiest, is packed again in the next round, unless its room is at most a share DONE of it.
 REOPENED, DONE = 4, 1 / 1024
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -151,73 +151,138 @@ def pack(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     return [x for x in bins.items if x]
 
 
+class Takers:
+    """What bins with room could give back for what they get: nothing, one document, or two. Only appended to.
+
+    An entry has the sum given back, the most that its bin may get for it, and the table of a source's offers to look
+    into: 0 for one document, 1 for one or two, which only one document is exchanged for. A changed bin's entries go dead.
+    """
+
+    def __init__(self, capacity: int):
+        self.capacity, self.end, self.live = capacity, 0, 0
+        self.most, self.back, self.bin = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.places: dict[int, tuple[int, int]] = {}
+
+    def drop(self, i: int) -> None:
+        a, b = self.places.pop(i, (0, 0))
+        self.bin[a:b] = -1
+        self.live -= b - a
+
+    def put(self, i: int, sizes: np.ndarray, room: int) -> None:
+        one, two = offers(sizes)
+        back = np.concatenate([[0], two, one])
+        table = np.concatenate([np.zeros(1 + len(two), np.int64), np.full(len(one), self.capacity + 1)])
+        n = len(back)
+        if self.end + n > len(self.bin):
+            size = max(2 * len(self.bin), self.end + n)
+            self.most, self.back, self.bin = (np.resize(x, size) for x in (self.most, self.back, self.bin))
+        at = slice(self.end, self.end + n)
+        self.most[at], self.back[at], self.bin[at] = table + back + room, back, i
+        self.places[i] = self.end, self.end + n
+        self.end += n
+        self.live += n
+
+    def compact(self) -> np.ndarray:
+        """Dead entries go; new places of old ones."""
+        kept = self.bin[: self.end] >= 0
+        moved = np.concatenate([[0], np.cumsum(kept)])
+        n = int(moved[-1])
+        for x in (self.most, self.back, self.bin):
+            x[:n] = x[: self.end][kept]
+        self.places = {i: (int(moved[a]), int(moved[b])) for i, (a, b) in self.places.items()}
+        self.end = n
+        return moved
+
+
+def offers(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of one document, and of two, that a bin has. A bin has few different sizes, as they add up to its capacity."""
+    u, n = np.unique(sizes, return_counts=True)
+    x, y = np.triu_indices(len(u), 1)
+    return u, np.unique(np.concatenate([u[x] + u[y], 2 * u[n > 1]]))
+
+
+def pick(items: list[int], sizes: list[int], total: int, most: int) -> list[int]:
+    """One document of that size, or else two if ``most`` is 2."""
+    if not total:
+        return []
+    where: dict[int, int] = {}
+    for k in items:
+        if sizes[k] == total:
+            return [k]
+    if most == 2:
+        for k in items:
+            if total - sizes[k] in where:
+                return [where[total - sizes[k]], k]
+            where[sizes[k]] = k
+    raise AssertionError("no such documents")
+
+
 def search(bins: Bins, sizes: list[int]) -> None:
-    """Moves, one-for-one and two-for-one exchanges out of the emptiest bins while the sum of squared fills grows.
+    """Moves, one-for-one and two-for-one exchanges between bins with room while the sum of squared fills grows.
 
-    For bins of fills f >= g, shifting d tokens from g to f changes the sum by 2d(f - g) + 2d^2, so every shift to a fuller
-    bin that has the room is a gain. While all rooms together are less than a bin, no bin can be saved, and it ends.
+    For bins of fills f and g, shifting d tokens from g to f changes the sum by 2d(f - g + d). Sources go from the emptiest
+    on, and all are tried, against all bins with room, until none has a gain; one that had none only looks at bins that
+    have changed since. While all rooms together are less than a bin, no bin can be saved, and it ends.
     """
     cap, items, room = bins.capacity, bins.items, bins.room
-    while True:
-        loose = sorted((i for i in range(len(items)) if items[i] and room[i] > 0), key=lambda i: (room[i], i))
-        if sum(room[i] for i in loose) < cap or len(loose) < 2:
-            return
+    loose = {i for i in range(len(items)) if items[i] and room[i] > 0}
+    total = sum(room[i] for i in loose)
+    if total < cap or len(loose) < 2:
+        return
+    takers = Takers(cap)
+    for i in sorted(loose, key=lambda i: (room[i], i)):
+        takers.put(i, np.array([sizes[k] for k in items[i]]), room[i])
+    seen = dict.fromkeys(loose, 0)
+    gained = True
+    while gained:
         gained = False
-        for source in loose[: -SOURCES - 1 : -1]:
-            for to in loose:
-                if to == source or room[to] > room[source] or not room[to]:
-                    continue
-                got = best_shift(items[source], items[to], sizes, room[to])
-                if got:
-                    give, back = got
-                    d = sum(sizes[k] for k in give) - sum(sizes[k] for k in back)
-                    items[source] = [k for k in items[source] if k not in give] + back
-                    items[to] = [k for k in items[to] if k not in back] + give
-                    room[source] += d
-                    room[to] -= d
-                    gained = True
-                    if not items[source]:
-                        break
-            if gained:
-                break
-        if not gained:
-            return
-
-
-def best_shift(source: list[int], to: list[int], sizes: list[int], room: int) -> tuple[list[int], list[int]] | None:
-    """What to give and to take back so that ``to`` gains most: a move, one for one, or two for one; at most ``room``."""
-    best, found = 0, None
-    if not source:
-        return None
-    a = sorted(source, key=lambda k: sizes[k])
-    s = np.array([sizes[k] for k in a])
-    at = int(s.searchsorted(room, "right")) - 1
-    if at >= 0:
-        best, found = int(s[at]), ([a[at]], [])
-        if best == room:
-            return found
-    b = sorted(to, key=lambda k: sizes[k])
-    t = np.array([sizes[k] for k in b])
-    want = t + room
-    j = s.searchsorted(want, "right") - 1
-    gain = np.where(j >= 0, s[np.maximum(j, 0)] - t, 0)
+        for source in sorted(loose, key=lambda i: (-room[i], i)):
+            while source in loose and seen[source] < takers.end:
+                got = best_shift(source, np.array([sizes[k] for k in items[source]]), room[source], takers, seen[source])
+                seen[source] = takers.end
+                if got is None:
+                    break
+                to, given, returned, two = got
+                give = pick(items[source], sizes, given, 2 if two else 1)
+                back = pick(items[to], sizes, returned, 1 if two else 2)
+                items[source] = [k for k in items[source] if k not in give] + back
+                items[to] = [k for k in items[to] if k not in back] + give
+                room[source] += given - returned
+                room[to] -= given - returned
+                gained = True
+                for i in (to, source):
+                    takers.drop(i)
+                    seen[i] = 0
+                    if items[i] and room[i] > 0:
+                        takers.put(i, np.array([sizes[k] for k in items[i]]), room[i])
+                    else:
+                        loose.discard(i)
+                if not items[source]:
+                    total -= cap
+                    if total < cap:
+                        return
+                if takers.end > 4096 and takers.end > 2 * takers.live:
+                    moved = takers.compact()
+                    seen = {i: int(moved[x]) for i, x in seen.items()}
+
+
+def best_shift(source: int, own: np.ndarray, room: int, takers: Takers, since: int) -> tuple[int, int, int, bool] | None:
+    """(bin, sum given, sum given back, whether two may be given) of the shift out of a source that gains most, if one does."""
+    cap = takers.capacity
+    one, two = offers(own)
+    most, back, bins = takers.most[since : takers.end], takers.back[since : takers.end], takers.bin[since : takers.end]
+    # The largest offer of at most x, by one document, and by one or two.
+    least = np.zeros((2, cap + 1), np.int64)
+    least[:, one] = one
+    two = two[two <= cap]
+    least[1, two] = two
+    given = np.maximum.accumulate(least, axis=1).ravel()[most]
+    d = given - back
+    exchange = most > cap
+    f_g = room - (most - exchange * (cap + 1) - back)
+    gain = np.where((d > 0) & (bins >= 0) & (bins != source), d * (f_g + d), 0)
     k = int(gain.argmax())
-    if gain[k] > best:
-        best, found = int(gain[k]), ([a[int(j[k])]], [b[k]])
-        if best == room:
-            return found
-    if len(a) > 1:
-        x, y = np.triu_indices(min(len(a), 256), 1)
-        pair = s[x] + s[y]
-        order = pair.argsort(kind="stable")
-        pair = pair[order]
-        j = pair.searchsorted(want, "right") - 1
-        gain = np.where(j >= 0, pair[np.maximum(j, 0)] - t, 0)
-        k = int(gain.argmax())
-        if gain[k] > best:
-            p = int(order[int(j[k])])
-            found = [a[int(x[p])], a[int(y[p])]], [b[k]]
-    return found
+    return (int(bins[k]), int(given[k]), int(back[k]), bool(exchange[k])) if gain[k] > 0 else None
 
 
 def pack_groups(items: DataFrame, groups: int, capacity: int, level: int) -> DataFrame:
