@@ -66,3 +66,29 @@ def test_search_goes_past_stuck_bins():
         bins = pack(sizes, 100)
         assert sorted(k for b in bins for k in b) == list(range(50)) and all(sum(sizes[k] for k in b) <= 100 for b in bins)
         assert sum(100 - sum(sizes[k] for k in b) for b in bins) < 100 or not gains(bins, sizes, 100)
+
+
+def test_every_bin_with_room_meets_other_groups(spark, monkeypatch):
+    from tidemark.llm import packing
+
+    # Each group of 16 alone leaves most bins with room; which bins are packed again is told by the rounds' input.
+    rng = random.Random(3)
+    rows = [(k, 0, 0, rng.randint(1300, 2600), k) for k in range(160)]
+    cut = spark.createDataFrame(rows, packing.PIECE).repartition(1).cache()
+    rounds = []
+    plain = packing.pack_groups
+
+    def noted(items, groups, capacity, level):
+        placed = plain(items, groups, capacity, level).cache()
+        rounds.append((items.count(), groups, placed.collect()))
+        return placed
+
+    monkeypatch.setattr(packing, "pieces", lambda *_: cut)
+    monkeypatch.setattr(packing, "pack_groups", noted)
+    got = best_fit(cut, "", group=16).collect()
+    fills = {}
+    for r in rounds[0][2]:
+        fills[r.sequence_id] = fills.get(r.sequence_id, 0) + r.length
+    open_ids = {s for s, n in fills.items() if 4096 - n > 4}
+    assert rounds[0][1] == 10 and rounds[1][0] == sum(r.sequence_id in open_ids for r in rounds[0][2])
+    assert sorted(r.doc_id for r in got) == list(range(160)) and len({r.sequence_id for r in got}) <= len(fills)

@@ -3,9 +3,10 @@
 A text longer than a sequence is cut into whole sequences and one rest; only rests have to be packed. They are dealt at
 random into groups of bounded size. A group is packed best fit, longest first; then a local search over all its underfull
 bins moves a document, exchanges one for one or two for one wherever that raises the sum of squared fills, until nothing
-does; bins run empty on the way. The emptiest quarter of the bins, where they have room, goes to the next round, in fewer
-groups, until one group holds all of it; the others are done. So the rounds' work shrinks fast, no task holds more than ``GROUP`` documents, and
-nothing is collected.
+does; bins run empty on the way. All bins with room go to the next round, dealt anew, until one group holds all of them or
+a round saves no sequence. Then the packing before it stands, but for the emptiest quarter of each group's bins, which go
+on, a quarter each round, until one group holds all of it. No task holds more than ``GROUP`` documents, and nothing is
+collected.
 
 Null or empty text: its end-of-text id alone, one piece of length 1. Repeated rows are packed each. Tables without rows
 give none. Only doc_id and text are read; other columns are ignored.
@@ -26,7 +27,8 @@ from tidemark.llm.units import UnitCache, together
 
 #: Tokens of a sequence, and documents of a group.
 CAPACITY, GROUP = 4096, 8192
-#: One bin in REOPENED, the emptiest, is packed again in the next round, unless its room is at most a share DONE of it.
+#: A bin whose room is at most a share DONE of it is not packed again in the next round. Once packing all others again
+#: saves nothing, one bin in REOPENED, the emptiest, is.
 REOPENED, DONE = 4, 1 / 1024
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECE}, sequence_id long, offset long"
@@ -286,7 +288,7 @@ def best_shift(source: int, own: np.ndarray, room: int, takers: Takers, since: i
 
 
 def pack_groups(items: DataFrame, groups: int, capacity: int, level: int) -> DataFrame:
-    """One packing of each of ``groups`` even groups; ``done``: not among the emptiest, next to full, or of the only group."""
+    """One packing of each of ``groups`` even groups; ``done``: next to full, or of the only group; ``emptiest``: of its group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -296,26 +298,26 @@ def pack_groups(items: DataFrame, groups: int, capacity: int, level: int) -> Dat
             return
         sizes = t.column("length").to_pylist()
         base = (level << 56) + (TaskContext.get().partitionId() << 24)
-        order, sequence, offset, done = [], [], [], []
+        order, sequence, offset, done, emptiest = [], [], [], [], []
         bins = pack(sizes, capacity)
         fills = [sum(sizes[k] for k in b) for b in bins]
-        # The emptiest bins are packed again, so that what is left shrinks from round to round.
-        again = set() if groups == 1 else set(sorted(range(len(bins)), key=lambda i: (fills[i], i))[: -(-len(bins) // REOPENED)])
+        last = set(sorted(range(len(bins)), key=lambda i: (fills[i], i))[: -(-len(bins) // REOPENED)])
         for i, bin_ in enumerate(bins):
             at = 0
-            full = i not in again or capacity - fills[i] <= capacity * DONE
+            full = groups == 1 or capacity - fills[i] <= capacity * DONE
             for k in bin_:
                 order.append(k)
                 sequence.append(base + i)
                 offset.append(at)
                 done.append(full)
+                emptiest.append(i in last)
                 at += sizes[k]
         t = t.take(pa.array(order)).combine_chunks()
         columns = [t.column(c).combine_chunks() for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
         columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
-        yield batch([*("doc_id piece start length ids_crc32 sequence_id offset done".split())], [*columns, sequence, offset, done], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()])
+        yield batch([*("doc_id piece start length ids_crc32 sequence_id offset done emptiest".split())], [*columns, sequence, offset, done, emptiest], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()])
 
-    return items.select("doc_id", "piece", "start", "length", "ids_crc32").repartition(groups).mapInArrow(run, f"{PLACED}, done boolean")
+    return items.select("doc_id", "piece", "start", "length", "ids_crc32").repartition(groups).mapInArrow(run, f"{PLACED}, done boolean, emptiest boolean")
 
 
 def best_fit(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, group: int = GROUP, end_id: int = 1) -> DataFrame:
@@ -323,19 +325,25 @@ def best_fit(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
     cut = checkpointed(pieces(docs, path, capacity, end_id))
     full = cut.where(F.col("length") == capacity).withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     out, left, level = [full], cut.where(F.col("length") < capacity), 1
-    n = left.count()
+    n, before, open_bins, narrow = left.count(), None, None, False
     while n:
         groups = -(-n // group)
         placed = checkpointed(pack_groups(left, groups, capacity, level))
-        out.append(placed.where("done").drop("done"))
+        if open_bins is not None:
+            made = placed.where("offset = 0").count()
+            if groups == 1 and made > open_bins or narrow and n >= before:
+                out.append(left)
+                break
+            if groups > 1 and not narrow and made >= open_bins:  # nothing saved: what was there stays
+                narrow, placed = True, left
         if groups == 1:
+            out.append(placed)
             break
-        left = placed.where(~F.col("done"))
-        before, n, level = n, left.count(), level + 1
-        if n > 0.9 * before:  # hardly anything fills up together: further rounds would not help
-            out.append(left.drop("done"))
-            break
+        again = ~F.col("done") & F.col("emptiest") if narrow else ~F.col("done")
+        out.append(placed.where(~again))
+        left = placed.where(again)
+        before, n, open_bins, level = n, left.count(), left.where("offset = 0").count(), level + 1
     result = out[0]
     for x in out[1:]:
-        result = result.unionByName(x)
+        result = result.unionByName(x.drop("done", "emptiest"))
     return result
