@@ -1,12 +1,12 @@
-"""Suffix-array dedup of byte strings by prefix doubling (operator 6).
+"""Suffix-array dedup of byte strings by anchors and prefix doubling (operator 6).
 
-Bytes covered by a string of ``WINDOW`` bytes that starts anywhere else too are removed, in every place. Positions are
-ranked by what follows them, at growing lengths, and a position drops out once its rank is unique:
+Bytes covered by a string of ``WINDOW`` bytes that starts anywhere else too are removed, in every place. Hashes that Spark
+counts and groups stand in for rank rounds that it would sort; only the last step doubles, inside one worker:
 
-- the first rank is that of the anchor of ``GRAM`` bytes which windows.py chooses for every window; Spark groups all
-  positions by it, and anchors that occur once end there with all windows around them;
-- the second rank pairs an anchor with what stands on both sides of it, as far as its windows reach; Spark sorts these
-  pairs, and equal ones are equal in all their windows, past the threshold;
+- windows.py chooses an anchor of ``GRAM`` bytes for every window; Spark counts the anchors' hashes, and anchors that occur
+  once end there with all windows around them;
+- Spark groups by a hash of the anchor with what stands on both sides of it, as far as its windows reach; equal ones are
+  equal in all their windows;
 - what is left are anchors with different surroundings, once for each. Their windows are ranked by doubling within the
   anchor's group: ranks of 100 bytes, then pairs of ranks at offset 100, then at 200, dropping unique ones, to 400.
 
