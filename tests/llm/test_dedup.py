@@ -67,13 +67,13 @@ def corpus(seed):
     return [*rows, (5000, None), (5001, "")]
 
 
-@pytest.mark.parametrize(("seed", "hot"), [(3, 4096), (4, 1)])
-def test_against_brute_force(spark, seed, hot):
+@pytest.mark.parametrize(("seed", "block"), [(3, 1024), (4, 2)])
+def test_against_brute_force(spark, seed, block):
     rows = corpus(seed)
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in fm_dedup.digests(fm_dedup.dedup(d, hot=hot)).collect()}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in fm_dedup.digests(fm_dedup.dedup(d, block=block)).collect()}
     assert got == brute_words(rows, 50)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digests(suffix_dedup.dedup(d, hot=hot)).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digests(suffix_dedup.dedup(d, block=block)).collect()}
     assert got == brute_bytes(rows, 400)
 
 
@@ -126,8 +126,8 @@ def rows_by_text(rows, w, across):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [4096, 1])
-def test_rows_that_share_an_id_or_have_none(spark, hot):
+@pytest.mark.parametrize("block", [1024, 2])
+def test_rows_that_share_an_id_or_have_none(spark, block):
     def words(name, n):
         return " ".join(f"{name}{k}" for k in range(n))
 
@@ -135,9 +135,9 @@ def test_rows_that_share_an_id_or_have_none(spark, hot):
     rows = [(1, words("p", 100)), (None, words("p", 100) + " " + words("a", 60)), (None, words("b", 100)), (7, words("c", 120)), (7, words("p", 100)), (7, words("d", 130)), (7, words("d", 130))]
     rows += [(rng.choice([None, 3, 4, 900]), t) for _, t in corpus(6) if t]
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    got = fm_dedup.digests(fm_dedup.dedup(d, hot=hot)).collect()
+    got = fm_dedup.digests(fm_dedup.dedup(d, block=block)).collect()
     assert sorted((str(r.doc_id), r.n_removed, r.kept_sha256) for r in got) == rows_by_text(rows, 50, True)
-    got = suffix_dedup.digests(suffix_dedup.dedup(d, hot=hot)).collect()
+    got = suffix_dedup.digests(suffix_dedup.dedup(d, block=block)).collect()
     assert sorted((str(r.doc_id), r.n_removed, r.kept_sha256) for r in got) == rows_by_text(rows, 400, False)
     # In the pipeline no row may lose words that stand nowhere else.
     assert words("b", 100) in [r.text for r in fm_dedup.clean(d).where("doc_id is null").collect()]

@@ -95,3 +95,41 @@ def test_components_and_odd_rows(spark):
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in partenum.join(d).collect())
     assert got == [(0, 2, 4), (4, 2, 4), (4, 2, 4), (6, 0, 6), (7, 0, 7)]
     assert partenum.join(d.limit(0)).count() == 0
+
+
+def test_a_row_without_id_passes_links_on(spark):
+    words = [f"w{k}" for k in range(60)]
+    near = lambda *at: " ".join("x" if k in at else w for k, w in enumerate(words))
+    d = spark.createDataFrame([(1, near(3)), (None, near()), (2, near(50)), (3, "else " * 9), (None, "alone and with no other document")], "doc_id long, text string")
+    links = brute([(r.doc_id or 9, r.text) for r in d.collect()[:3]])[1]
+    assert sorted(links) == [(9, 1), (9, 2)]  # 1 and 2 are linked by the row without an id alone
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in partenum.join(d).collect())
+    assert got == [(0, 0), (0, 1), (1, 1), (2, 1), (3, 3)]
+    assert sorted((r.doc_id or 0, r.text[:2]) for r in partenum.keep_one(d).collect()) == [(0, "al"), (1, "w0"), (3, "el")]
+
+
+def test_small_blocks_and_long_texts(spark):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(9000)}" for _ in range(4000)]
+    rows = [(k, " ".join(base[: 4000 - 40 * k])) for k in range(12)] + [(100 + k, " ".join(base[:300] + [f"v{k}"])) for k in range(9)] + [(300, " ".join(base * 12))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    members = partenum.checkpointed(partenum.sets(partenum.identified(d))).where("hot is null")
+    nodes = members.select("node").distinct().collect()
+    edges = spark.createDataFrame([(r.node, nodes[0].node) for r in nodes[1:]], "node long, root long")
+    # One candidate component of all sets, compared whole and by blocks of three sets or few shingles.
+    for block, elements in ((2048, 10**6), (3, 10**6), (100, 5000)):
+        links = partenum.components(partenum.verified(partenum.identified(d), members, edges, block=block, elements=elements))
+        root = {bytes(r.node): bytes(r.root) for r in links.collect()}
+        by_id = {r.doc_id: root.get(bytes(r.set_key), bytes(r.set_key)) for r in members.collect()}
+        expected = {i: c for i, (_, c) in brute(rows)[0].items()}
+        assert {(a, b) for a in by_id for b in by_id if by_id[a] == by_id[b]} == {(a, b) for a in expected for b in expected if expected[a] == expected[b]}
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(4)
+    for n, width, p in ((40, 30, 0.5), (60, 400, 0.05), (80, 50, 0.9)):
+        m = rng.random((n, width)) < p
+        row, column = np.nonzero(m)
+        left, right = np.arange(0, n, 2), np.arange(1, n, 2)
+        x = m.astype(int)
+        assert (partenum.shared(row, column, left, right) == x[left] @ x[right].T).all()

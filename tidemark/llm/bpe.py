@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import batch, documents, texts, tokenizer_path
+from tidemark.llm.common import batch, cache_of, documents, map_arrow, texts, tokenizer_path
 from tidemark.llm.units import JOINED, TOGETHER, UnitCache, together
 
 #: The pattern of the rank files (fixed value).
@@ -286,15 +286,13 @@ def encode_texts(texts: list[str], encoder: Encoder, cache: UnitCache) -> list[b
     return out
 
 
-_workers: dict[str, tuple[Encoder, UnitCache]] = {}
-
-
 def _worker(path: str) -> tuple[Encoder, UnitCache]:
-    if path not in _workers:
-        _workers.clear()
+    cache = cache_of("bpe")
+    if path not in cache:
+        cache.clear()
         e = Encoder(load_ranks(path))
-        _workers[path] = e, UnitCache(e.units)
-    return _workers[path]
+        cache[path] = e, UnitCache(e.units)
+    return cache[path]
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -306,7 +304,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
         for b in batches:
             yield batch(("doc_id", "ids"), (b.column(0), encode_texts(texts(b), e, units)), (pa.int64(), pa.binary()))
 
-    return documents(docs).mapInArrow(run, "doc_id long, ids binary")
+    return map_arrow(documents(docs), run, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -318,7 +316,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
         for b in batches:
             yield batch(("doc_id", "bytes"), (b.column(0), [e.decode(unpack(x or b"")) for x in b.column(1).to_pylist()]), (pa.int64(), pa.binary()))
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
+    return map_arrow(encoded.select("doc_id", "ids"), run, "doc_id long, bytes binary")
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -335,4 +333,4 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
                 text_sha.append(hashlib.sha256(e.decode(unpack(ids))).hexdigest())
             yield batch(("doc_id", "n_tokens", "ids_sha256", "decoded_sha256"), (b.column(0), n, ids_sha, text_sha), (pa.int64(), pa.int64(), pa.string(), pa.string()))
 
-    return documents(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(documents(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

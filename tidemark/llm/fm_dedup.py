@@ -20,35 +20,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batch, checkpointed
-from tidemark.llm.windows import NULL_ID, ROW, Plan, contents, coverage, identified, removed, repeated_segments, true_runs, with_bytes
+from tidemark.llm.common import NULL_ID, ROW, batch, checkpointed, identified, map_arrow, word_hashes
+from tidemark.llm.windows import Plan, contents, coverage, in_blocks, removed, repeated_segments, true_runs, with_bytes
 
 WINDOW, GRAM = 50, 25
-#: Words of a shard. Contents of a key stay in one shard up to HOT of them; keys with more go by window instead.
-SHARD, HOT = 150_000, 4096
-#: Words whose hash a worker remembers.
-REMEMBERED = 500_000
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = h
-        return h
-
-
-_hashes = _WordHashes()
+#: Words of a shard, and contents of a key that share a shard: those of a key with more are dealt to several.
+SHARD, BLOCK = 150_000, 1024
 
 
 def symbols(text: str) -> np.ndarray:
     words = text.encode().split()
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(word_hashes.__getitem__, words), np.uint64, len(words))
 
 
 def slices(text: str, ranges: list[tuple[int, int]]) -> list[bytes]:
@@ -157,12 +142,15 @@ def earlier_windows(data: list[bytes], owners: list[int], w: int = WINDOW) -> li
 
 
 def resolve(rows: DataFrame, w: int = WINDOW) -> DataFrame:
-    """(key, content, a, b): windows of contents (key, content, owner, windows, data) that a smaller owner has too."""
+    """(key, content, a, b): windows of contents (key, block, content, owner, data) that a smaller owner of their block has too.
+
+    Rows of a block come one after the other; small blocks share a shard and its FM-index.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def settle(group: list[tuple]) -> pa.RecordBatch:
             out: tuple[list, ...] = ([], [], [], [])
-            for (key, content, *_), flags in zip(group, earlier_windows([g[3] for g in group], [g[2] for g in group], w), strict=True):
+            for (key, _, content, *_), flags in zip(group, earlier_windows([g[4] for g in group], [g[3] for g in group], w), strict=True):
                 for a, b in true_runs(flags):
                     for c, v in zip(out, (key, content, a, b), strict=True):
                         c.append(v)
@@ -171,21 +159,21 @@ def resolve(rows: DataFrame, w: int = WINDOW) -> DataFrame:
         shard: list[tuple] = []
         size, last = 0, None
         for b in batches:
-            for row in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                if size >= SHARD and row[0] != last:
+            for row in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                if size >= SHARD and row[:2] != last:
                     yield settle(shard)
                     shard, size = [], 0
                 shard.append(row)
-                size += row[3].count(b" ") + 2
-                last = row[0]
+                size += row[4].count(b" ") + 2
+                last = row[:2]
         if shard:
             yield settle(shard)
 
-    return rows.select("key", "content", "owner", "data").mapInArrow(run, "key long, content long, a long, b long")
+    return map_arrow(rows.select("key", "block", "content", "owner", "data"), run, "key long, content long, a long, b long")
 
 
-def resolve_hot(rows: DataFrame, w: int = WINDOW) -> DataFrame:
-    """As resolve(), for keys with very many contents: by the windows themselves, pre-aggregated, so that no task holds a key."""
+def resolve_blocks(rows: DataFrame, w: int = WINDOW) -> DataFrame:
+    """As resolve(), for what the blocks of a key share: by digests of the windows, pre-aggregated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -197,26 +185,23 @@ def resolve_hot(rows: DataFrame, w: int = WINDOW) -> DataFrame:
                         c.append(v)
             yield batch(("key", "content", "owner", "a", "window"), out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))
 
-    each = rows.select("key", "content", "owner", "data").mapInArrow(run, "key long, content long, owner long, a long, window binary")
+    each = map_arrow(rows.select("key", "content", "owner", "data"), run, "key long, content long, owner long, a long, window binary")
     each = each.select("key", "content", "owner", "a", F.xxhash64("window").alias("h1"), F.xxhash64(F.lit(1), "window").alias("h2"))
     least = each.groupBy("h1", "h2").agg(F.min("owner").alias("least"), F.max("owner").alias("most")).where("least < most").select("h1", "h2", "least")
     return each.join(least, ["h1", "h2"]).where("least < owner").select("key", "content", "a", (F.col("a") + 1).alias("b"))
 
 
-def plan(w: int = WINDOW) -> Plan:
-    return Plan(w, w // 2, symbols, slices)
+def plan(w: int = WINDOW, block: int = BLOCK) -> Plan:
+    return Plan(w, w // 2, block, symbols, slices)
 
 
-def dedup(docs: DataFrame, w: int = WINDOW, hot: int = HOT, rest: tuple[str, ...] = ()) -> DataFrame:
+def dedup(docs: DataFrame, w: int = WINDOW, block: int = BLOCK, rest: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, text, rest, runs): every document with the ranges of windows that start in a smaller document too."""
-    rows, p = identified(docs, rest), plan(w)
+    rows, p = identified(docs, rest), plan(w, block)
     found = repeated_segments(rows, p, across=True)
-    each = checkpointed(contents(found))
-    several = with_bytes(rows, each.where("n_contents > 1"), p, "key long, content long, owner long, n_contents long")
-    few = several.where(F.col("n_contents") <= hot).repartition("key").sortWithinPartitions("key")
-    parts = resolve(few, w)
-    if each.where(F.col("n_contents") > hot).limit(1).count():
-        parts = parts.unionByName(resolve_hot(several.where(F.col("n_contents") > hot), w))
+    each = contents(found, p)
+    several = checkpointed(with_bytes(rows, each.where("n_contents > 1"), p, "key long, block int, blocks int, content long, owner long"))
+    parts = resolve(in_blocks(several), w).unionByName(resolve_blocks(several.where("blocks > 1"), w))
     lists = parts.groupBy("key", "content").agg(F.collect_list(F.struct("a", "b")).alias("parts"))
     info = checkpointed(each.select("key", "content", "owner").join(lists, ["key", "content"], "left"))
     seen = found.join(info, ["key", "content"])
@@ -244,19 +229,22 @@ def digests(found: DataFrame, w: int = WINDOW) -> DataFrame:
             ids = [None if x == NULL_ID else x for x in b.column(0).to_pylist()]
             yield batch(("doc_id", "n_words", "n_removed", "kept_sha256"), (ids, [g[0] for g in got], [g[1] for g in got], [hashlib.sha256(g[2]).hexdigest() for g in got]), (pa.int64(), pa.int64(), pa.int64(), pa.string()))
 
-    return found.select("doc_id", "text", "runs").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return map_arrow(found.select("doc_id", "text", "runs"), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def clean(docs: DataFrame, w: int = WINDOW) -> DataFrame:
-    """``docs`` with the kept words of each text joined by a space; texts that lose nothing stay as they are."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+def kept_text(text: Column, runs: Column, w: int = WINDOW) -> Column:
+    """A text without the words that ``runs`` cover, the others joined by a space; as it is where nothing goes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [t if not r else kept_words(t or "", r, w)[2].decode() for t, r in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield batch(["doc_id", "text", *(["rest"] if rest else [])], ([None if x == NULL_ID else x for x in b.column(0).to_pylist()], out, *([b.column(3)] if rest else [])), (pa.int64(), pa.string(), *([b.schema.types[3]] if rest else [])))
+    @F.arrow_udf("string")
+    def kept(t: pa.Array, r: pa.Array) -> pa.Array:
+        return pa.array([x if not y else kept_words(x or "", y, w)[2].decode() for x, y in zip(t.to_pylist(), r.to_pylist(), strict=True)], pa.string())
+
+    return F.when(runs.isNull(), text).otherwise(kept(text, runs))
 
-    found = dedup(docs, w, rest=rest).select("doc_id", "text", "runs", *(["rest"] if rest else []))
-    kind = f", rest {found.schema['rest'].dataType.simpleString()}" if rest else ""
-    cleaned = found.mapInArrow(run, f"doc_id long, text string{kind}")
-    return cleaned.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
+
+def clean(docs: DataFrame, w: int = WINDOW, block: int = BLOCK) -> DataFrame:
+    """``docs`` with the kept words of each text joined by a space; texts that lose nothing stay as they are."""
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    found = dedup(docs, w, block, rest)
+    own = {"doc_id": F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text": kept_text(F.col("text"), F.col("runs"), w).alias("text")}
+    return found.select(*[own[c] if c in own else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])

@@ -9,7 +9,8 @@ Profiles are learnt from a sample of at most ``SAMPLE`` labelled documents a lan
 doc_id; held-out documents are never among them. Only texts count in a prediction.
 
 Null text, or one without a letter: ``und``, score 0. Without labelled documents every prediction is ``und``. Ties between
-languages go to the first by name. A null doc_id isn't held out. One row a row of input; other columns are ignored.
+languages go to the first by name, ties between n-grams to the lesser code. A null doc_id isn't held out. Very long texts
+count whole. One row a row of input, repeated rows alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batch
+from tidemark.llm.common import batch, map_arrow
 
 #: Labelled documents a language at most; n-grams of a language's profile; n-grams of a document's profile.
 SAMPLE, PROFILE, OWN = 500, 400, 300
+#: Parts of a language that are ranked alone before the whole is, so that no task gets all rows of a language.
+SALTS = 64
 UNKNOWN = "und"
 BITS, SPACE = 21, 1
 _alpha: list[np.ndarray] = []
@@ -71,12 +74,18 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+def least(rows: DataFrame, key: str, order: list, salt: Column, most: int) -> DataFrame:
+    """The first ``most`` rows of each key in an order: of each of its SALTS parts first, then of what these leave."""
+    first = rows.withColumn("salt_", F.pmod(salt, F.lit(SALTS))).withColumn("k", F.row_number().over(Window.partitionBy(key, "salt_").orderBy(*order))).where(F.col("k") <= most)
+    return first.drop("salt_", "k").withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("k") <= most)
+
+
 def learn(docs: DataFrame, sample: int = SAMPLE, size: int = PROFILE) -> dict[str, list[int]]:
     """Profiles by language, from (doc_id, text, lang)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     h = F.xxhash64("doc_id")
     # The limit of each language's hash comes from ids alone and is pre-aggregated; texts are then only filtered.
-    near = rows.select("lang", h.alias("h")).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= sample)
+    near = least(rows.select("lang", h.alias("h")), "lang", ["h"], F.xxhash64("h"), sample)
     last = {r.lang: r.h for r in near.groupBy("lang").agg(F.max("h").alias("h")).collect()}
     if not last:
         return {}
@@ -91,8 +100,8 @@ def learn(docs: DataFrame, sample: int = SAMPLE, size: int = PROFILE) -> dict[st
             values, counts = np.unique(np.concatenate(codes), return_counts=True)
             yield batch(("lang", "code", "n"), ([lang] * len(values), values, counts), (pa.string(), pa.int64(), pa.int64()))
 
-    counted = chosen.select("text", "lang").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    top = counted.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).where(F.col("k") <= size)
+    counted = map_arrow(chosen.select("text", "lang"), count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    top = least(counted, "lang", [F.desc("n"), "code"], F.xxhash64("code"), size)
     profiles: dict[str, list[int]] = {}
     for r in top.orderBy("lang", "k").collect():
         profiles.setdefault(r.lang, []).append(r.code)
@@ -121,16 +130,26 @@ class Profiles:
         return self.languages[k], float(max(0.0, 1 - far[k] / (self.size * len(codes))))
 
 
-def identify(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, *keep) of every row; ``keep`` names further columns to carry along."""
+def predicted(text: Column, profiles: dict[str, list[int]], size: int = PROFILE) -> Column:
+    """struct<lang_pred, score> of a text; only the text goes to Python, whatever else its row has."""
+    fields = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
+
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(t: pa.Array) -> pa.Array:
+        p = Profiles(profiles, size)
+        return pa.array([dict(zip(("lang_pred", "score"), p.predict(x), strict=True)) for k in range(0, len(t), 64) for x in t.slice(k, 64).to_pylist()], fields)
+
+    return predict(text.cast("string"))
+
+
+def identify(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Profiles(profiles, size)
         for b in batches:
             got = [p.predict(x) for x in b.column(2).to_pylist()]
-            rest = [b.column(k) for k in range(3, b.num_columns)]
-            yield batch(["doc_id", "held_out", "lang_pred", "score", *b.schema.names[3:]], [b.column(0), b.column(1), [x for x, _ in got], [y for _, y in got], *rest], [pa.int64(), pa.bool_(), pa.string(), pa.float64(), *[c.type for c in rest]])
+            yield batch(["doc_id", "held_out", "lang_pred", "score"], [b.column(0), b.column(1), [x for x, _ in got], [y for _, y in got]], [pa.int64(), pa.bool_(), pa.string(), pa.float64()])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").alias("text_"), *keep)
-    kept = "".join(f", `{c}` {t}" for c, t in rows.dtypes[3:])
-    return rows.mapInArrow(run, f"doc_id long, held_out boolean, lang_pred string, score double{kept}")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
+    return map_arrow(rows, run, "doc_id long, held_out boolean, lang_pred string, score double")

@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import LOWER, UPPER, documents
 
 STRIDE = 128
+#: Postings of templates (a prefix word each) up to which they are broadcast.
+BROADCAST = 100_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -120,8 +122,8 @@ def block_matches(docs: DataFrame, templates: Sequence[Template]) -> DataFrame:
     blocks = blocks.withColumn("ordered_block", F.array_intersect(strings(order), F.col("words")))
     m = F.size("ordered_block")
     probes = blocks.where(m >= least).select("*", F.posexplode("ordered_block").alias("j", "token"))
-    # The postings are bounded by the templates, which are constants of the call.
-    found = probes.join(F.broadcast(postings), "token").where(
+    # The postings grow with the templates alone; few are broadcast, and of many Spark decides.
+    found = probes.join(F.broadcast(postings) if len(index) <= BROADCAST else postings, "token").where(
         (m >= F.col("need")) & (F.least(F.col("n") - F.col("i"), m - F.col("j")) >= F.col("need"))
     )
     common = F.array_intersect("ordered", "ordered_block")

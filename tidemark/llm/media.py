@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batch, checkpointed, documents, texts
+from tidemark.llm.common import batch, checkpointed, documents, map_arrow, texts
 
 WIDTH = 64
 ITEM = "struct<position:int,kind:string,text:string,digest:string,caption:string>"
@@ -168,7 +168,7 @@ def interleave(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
         for b in batches:
             yield batch((key, "items"), (b.column(0), [sequence(x) for x in b.column(1).to_pylist()]), (pa.int64(), _ITEMS))
 
-    return pages.select(F.col(key).cast("long").alias(key), F.col(html).alias("html_")).mapInArrow(run, f"`{key}` long, items array<{ITEM}>")
+    return map_arrow(pages.select(F.col(key).cast("long").alias(key), F.col(html).alias("html_")), run, f"`{key}` long, items array<{ITEM}>")
 
 
 def references(sequences: DataFrame, key: str = "page_id") -> DataFrame:
@@ -194,7 +194,7 @@ def read_back(store: DataFrame) -> DataFrame:
                     c.append(v)
             yield batch(("digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"), out, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))
 
-    read = store.select("digest", "media").mapInArrow(run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    read = map_arrow(store.select("digest", "media"), run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     return read.dropDuplicates(["digest"])
 
 
@@ -218,7 +218,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
                     c.append(v)
             yield batch(("doc_id", "n_bytes", "html", "digest", "media"), (b.column(0), *out), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()))
 
-    return documents(docs).mapInArrow(run, "doc_id long, n_bytes long, html string, digest string, media binary")
+    return map_arrow(documents(docs), run, "doc_id long, n_bytes long, html string, digest string, media binary")
 
 
 def media_columns(docs: DataFrame) -> DataFrame:

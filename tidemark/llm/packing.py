@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batch, checkpointed, documents, texts, tokenizer_path
+from tidemark.llm.common import batch, cache_of, checkpointed, documents, map_arrow, texts, tokenizer_path
 from tidemark.llm.units import UnitCache, together
 
 #: Tokens of a sequence, and documents of a group.
@@ -62,15 +62,15 @@ def unit_ids(path: str):
 
 #: Characters that Python's split() takes for white space and the vocabulary's pattern doesn't: such texts go whole.
 ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
-_workers: dict = {}
 
 
 def _worker(path: str):
-    if path not in _workers:
-        _workers.clear()
+    cache = cache_of("packing")
+    if path not in cache:
+        cache.clear()
         encode, whole = unit_ids(path)
-        _workers[path] = UnitCache(encode), whole
-    return _workers[path]
+        cache[path] = UnitCache(encode), whole
+    return cache[path]
 
 
 def encode_texts(texts: list[str], cache: UnitCache, whole) -> Iterator[bytes]:
@@ -104,7 +104,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
                         column.append(x)
             yield batch(("doc_id", "piece", "start", "length", "ids_crc32"), out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))
 
-    return documents(docs).mapInArrow(run, PIECE)
+    return map_arrow(documents(docs), run, PIECE)
 
 
 class Bins:
@@ -317,7 +317,7 @@ def pack_groups(items: DataFrame, groups: int, capacity: int, level: int) -> Dat
         columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
         yield batch([*("doc_id piece start length ids_crc32 sequence_id offset done emptiest".split())], [*columns, sequence, offset, done, emptiest], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()])
 
-    return items.select("doc_id", "piece", "start", "length", "ids_crc32").repartition(groups).mapInArrow(run, f"{PLACED}, done boolean, emptiest boolean")
+    return map_arrow(items.select("doc_id", "piece", "start", "length", "ids_crc32").repartition(groups), run, f"{PLACED}, done boolean, emptiest boolean")
 
 
 def best_fit(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, group: int = GROUP, end_id: int = 1) -> DataFrame:

@@ -13,13 +13,16 @@ A partition that holds nothing of a set signs nothing: as long as a set fills mo
 similar sets share one that isn't empty. The few sets that fill fewer sign their empty ones as well. Very frequent shingles
 are left out of the domain as long as the others suffice, see signatures().
 
-Sets stand for all documents that have them, so copies are one node. Rows with the same signature become a star to their
-least set, per task before the shuffle and per signature after it. The stars' components hold all similar pairs; within them
-an exact join verifies: sets are compared block by block, by the products of their incidence matrices over shared shingles.
-Verified links, as a spanning forest of each pair of blocks, give the final components.
+Sets stand for all documents that have them, so copies are one node; a set is known by 128 bits. Rows with the same
+signature become a star to their least set, per task before the shuffle and per signature after it. The stars' components
+hold all similar pairs. Within them an exact join verifies: sets fall into tiers of similar size, of which only neighbours can
+hold similar sets, and tiers into blocks of bounded size; two blocks are compared by counting the shingles that their sets
+share. Verified links, as a spanning forest of each pair of blocks, give the final components.
 
 Null or empty text: an empty set, linked with nothing, even with another. Fewer than five words: the whole sequence as one
-shingle. One row a row of input; rows of equal texts are linked. A null doc_id never is the least. Other columns are ignored.
+shingle. A very long text is one set like any other. One row a row of input; rows of equal texts are linked. Rows without
+doc_id link and pass links on as others do, but never are the least; where a component has none but them, its id is null.
+Ties can't occur: of rows alike in doc_id and text each gets the same. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,31 +33,17 @@ from math import ceil, floor, log
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batch, checkpointed, documents
+from tidemark.llm.common import NULL_ID, ROW, Marks, batch, checkpointed, identified, map_arrow, word_hashes
 from tidemark.llm.windows import Hashes, mix
 
 WORDS, PERCENT, BAND = 5, 80, 1.6
-#: Sets of a block of the exact join; signatures that a task holds before it sends them on.
-BLOCK, HELD = 4096, 1_000_000
+#: Sets of a block of the exact join, and shingles of all its sets; signatures that a task holds before it sends them on.
+BLOCK, ELEMENTS, HELD = 2048, 1_000_000, 1_000_000
 #: Frequent shingles: of a task, of all (8 bytes each in a broadcast), and how often one has to be seen.
 HOT_TASK, HOT, HOT_LEAST = 1 << 15, 1 << 16, 32
-REMEMBERED = 500_000
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = h
-        return h
-
-
-_hashes = _WordHashes()
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -62,14 +51,20 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     w = (text or "").encode().lower().split()
     if not w:
         return np.empty(0, np.uint64)
-    h = Hashes(np.fromiter(map(_hashes.__getitem__, w), np.uint64, len(w)))
+    h = Hashes(np.fromiter(map(word_hashes.__getitem__, w), np.uint64, len(w)))
     return np.unique(h.all(min(words, len(w))))
 
 
-def set_id(x: np.ndarray) -> int:
-    """A hash of a set, as a signed long."""
-    h = (int(mix(x).sum()) * 0x9E3779B97F4A7C15 + int(mix(x ^ np.uint64(0x5851F42D4C957F2D)).sum()) + len(x)) % (1 << 64)
-    return h - (h >> 63 << 64)
+def set_key(x: np.ndarray) -> bytes:
+    """A hash of a set, of 16 bytes."""
+    low = (int(mix(x).sum()) * 0x9E3779B97F4A7C15 + len(x)) % (1 << 64)
+    high = (int(mix(x ^ np.uint64(0x5851F42D4C957F2D)).sum()) + int(mix(x + np.uint64(0x2545F4914F6CDD1D)).max(initial=0))) % (1 << 64)
+    return low.to_bytes(8, "little") + high.to_bytes(8, "little")
+
+
+def node_of(key: bytes) -> int:
+    """Half a set's hash as a signed long: what signatures carry. Sets that share it are compared like candidates."""
+    return int.from_bytes(key[:8], "little", signed=True)
 
 
 @cache
@@ -146,14 +141,14 @@ def signatures(x: np.ndarray, hot: np.ndarray | None = None, percent: int = PERC
     return np.unique(np.concatenate(out))
 
 
-def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, set_id, n_shingles, hot, df) of every row; set_id is null for an empty set.
+def sets(rows: DataFrame, words: int = WORDS) -> DataFrame:
+    """(doc_id, row, set_key, node, n_shingles, hot, df) of every row of identified(); set_key is null for an empty set.
 
     Further rows have ``hot`` instead: shingles that a task has found frequent, at most HOT_TASK of them, and how often.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, types = ("doc_id", "set_id", "n_shingles", "hot", "df"), (pa.int64(),) * 5
+        names, types = ("doc_id", "row", "set_key", "node", "n_shingles", "hot", "df"), (pa.int64(), pa.int64(), pa.binary(), *(pa.int64(),) * 4)
         seen: set[int] = set()
         held: list[np.ndarray] = []
         size, values, counts = 0, np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -171,11 +166,12 @@ def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
             held, size = [], 0
 
         for b in batches:
-            got = [shingles(x, words) for x in b.column(1).to_pylist()]
-            ids = [set_id(x) if len(x) else None for x in got]
+            got = [shingles(x, words) for x in b.column(2).to_pylist()]
+            keys = [set_key(x) if len(x) else None for x in got]
+            nodes = [node_of(k) if k else None for k in keys]
             none = pa.nulls(len(got), pa.int64())
-            yield batch(names, (b.column(0), ids, [len(x) for x in got], none, none), types)
-            for i, x in zip(ids, got, strict=True):
+            yield batch(names, (b.column(0), b.column(1), keys, nodes, [len(x) for x in got], none, none), types)
+            for i, x in zip(nodes, got, strict=True):
                 if i is not None and i not in seen:
                     if len(seen) < 1_000_000:
                         seen.add(i)
@@ -187,9 +183,9 @@ def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
             count()
         if len(values):
             none = pa.nulls(len(values), pa.int64())
-            yield batch(names, (none, none, none, values.view(np.int64), counts), types)
+            yield batch(names, (none, none, pa.nulls(len(values), pa.binary()), none, none, values.view(np.int64), counts), types)
 
-    return documents(docs).mapInArrow(run, "doc_id long, set_id long, n_shingles long, hot long, df long")
+    return map_arrow(rows.select(*ROW, "text"), run, "doc_id long, row long, set_key binary, node long, n_shingles long, hot long, df long")
 
 
 def hot_shingles(found: DataFrame) -> np.ndarray:
@@ -206,9 +202,9 @@ def stars(signature: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return lead, node[edge], head[edge]
 
 
-def candidate_edges(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, hot: np.ndarray | None = None) -> DataFrame:
+def candidate_edges(rows: DataFrame, words: int = WORDS, percent: int = PERCENT, hot: np.ndarray | None = None) -> DataFrame:
     """(u, v), u > v: stars that connect all sets with a common signature."""
-    frequent = docs.sparkSession.sparkContext.broadcast(hot)
+    frequent = rows.sparkSession.sparkContext.broadcast(hot)
     names, types = ("signature", "v"), (pa.int64(), pa.int64())
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,12 +224,15 @@ def candidate_edges(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
                 pairs = np.unique(np.stack([u, head], 1), axis=0)
                 own = mix(mix(pairs[:, 0].view(np.uint64)) + pairs[:, 1].view(np.uint64))
                 s, v = np.concatenate([s, own, own]), np.concatenate([v, pairs[:, 0], pairs[:, 1]])
+            # Equal nodes side by side: the shuffle's compression halves their bytes.
+            order = v.argsort(kind="stable")
+            s, v = s[order], v[order]
             return batch(names, (s.view(np.int64), v), types)
 
         for b in batches:
             for text in b.column(0).to_pylist():
                 x = shingles(text, words)
-                if not len(x) or (i := set_id(x)) in seen:
+                if not len(x) or (i := node_of(set_key(x))) in seen:
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(i)
@@ -259,8 +258,8 @@ def candidate_edges(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
             found = np.unique(np.stack([u, head], 1), axis=0)
             yield batch(("u", "v"), (found.max(axis=1, initial=-(1 << 63)), found.min(axis=1, initial=(1 << 63) - 1)), types)
 
-    signed = documents(docs).select("text").mapInArrow(sign, "signature long, v long")
-    met = signed.repartition("signature").sortWithinPartitions("signature", "v").mapInArrow(meet, "u long, v long")
+    signed = map_arrow(rows.select("text"), sign, "signature long, v long")
+    met = map_arrow(signed.repartition("signature").sortWithinPartitions("signature", "v"), meet, "u long, v long")
     return checkpointed(met.distinct())
 
 
@@ -284,112 +283,169 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def similar(ids: list[int], contents: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
+def shared(row: np.ndarray, column: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many columns each row of ``left`` has in common with each of ``right``; row and column list what there is.
+
+    Columns that many rows have are multiplied as matrices, those of few are counted pair by pair.
+    """
+    place = [np.full(int(row.max(initial=0)) + 1, -1, np.int64) for _ in "ab"]
+    for p, m in zip(place, (left, right), strict=True):
+        p[m[m < len(p)]] = np.flatnonzero(m < len(p))
+    common = np.zeros((len(left), len(right)), np.int32)
+    order = column.argsort(kind="stable")
+    row, column = row[order], column[order]
+    _, first, count = np.unique(column, return_index=True, return_counts=True)
+    frequent = count > max(8, (len(left) + len(right)) // 32)
+    for chosen in np.array_split(np.flatnonzero(frequent), max(1, -(-int(frequent.sum()) // 1024))):
+        if len(chosen):
+            at = np.concatenate([np.arange(first[c], first[c] + count[c]) for c in chosen])
+            local = np.repeat(np.arange(len(chosen)), count[chosen])
+            x = []
+            for p, m in zip(place, (left, right), strict=True):
+                x.append(np.zeros((len(m), len(chosen)), np.float32))
+                here = p[row[at]]
+                x[-1][here[here >= 0], local[here >= 0]] = 1
+            common += (x[0] @ x[1].T).astype(np.int32)
+    for d in np.unique(count[~frequent]):
+        if d > 1:
+            # All columns of d rows at once: d * d pairs each.
+            rows = row[first[~frequent & (count == d)][:, None] + np.arange(d)]
+            a, b = place[0][rows], place[1][rows]
+            for k in range(0, len(rows), max(1, 4_000_000 // int(d * d))):
+                part = slice(k, k + max(1, 4_000_000 // int(d * d)))
+                i, j = np.broadcast_arrays(a[part, :, None], b[part, None, :])
+                ok = (i >= 0) & (j >= 0)
+                common += np.bincount(i[ok] * len(right) + j[ok], minlength=common.size).reshape(common.shape).astype(np.int32)
+    return common
+
+
+def similar(ids: list, contents: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) -> list[tuple]:
     """A spanning forest of the pairs at the threshold between two sides (or within one, where all sides are 0)."""
     n = len(ids)
     sizes = np.array([len(c) for c in contents], np.int64)
-    every = np.concatenate(contents)
-    row = np.repeat(np.arange(n), sizes)
-    _, column, count = np.unique(every, return_inverse=True, return_counts=True)
-    shared = count > 1
-    keep = shared[column]
-    row, column = row[keep], (np.cumsum(shared) - 1)[column[keep]]
-    width = int(shared.sum())
-    # Rows against columns: one side against the other, or all against all.
+    _, column, count = np.unique(np.concatenate(contents), return_inverse=True, return_counts=True)
+    keep = count[column] > 1
     left = np.flatnonzero(side == 0) if side.any() else np.arange(n)
     right = np.flatnonzero(side) if side.any() else left
-    place = np.zeros(n, np.int64)
-    common = np.zeros((len(left), len(right)), np.float32)
-    for a in range(0, width, 2048):
-        part = (column >= a) & (column < a + 2048)
-        x = []
-        for members in dict.fromkeys((id(left), id(right))):
-            m = left if members == id(left) else right
-            place[:] = -1
-            place[m] = np.arange(len(m))
-            at = place[row[part]]
-            x.append(np.zeros((len(m), min(2048, width - a)), np.float32))
-            x[-1][at[at >= 0], column[part][at >= 0] - a] = 1
-        common += x[0] @ x[-1].T
+    common = shared(np.repeat(np.arange(n), sizes)[keep], column[keep], left, right)
+    # 100 * common >= percent * (a + b - common), in whole numbers.
+    i, j = np.nonzero((100 + percent) * common.astype(np.int64) >= percent * (sizes[left][:, None] + sizes[right][None, :]))
     parent = list(range(n))
 
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
+    def find(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
 
     out = []
-    for k, i in enumerate(left.tolist()):
-        # 100 * common >= percent * (a + b - common), in whole numbers.
-        link = (100 + percent) * common[k].astype(np.int64) >= percent * (sizes[i] + sizes[right])
-        for j in right[link].tolist():
-            a, b = find(i), find(j)
-            if a != b:
-                parent[a] = b
-                out.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
+    for x, y in zip(left[i].tolist(), right[j].tolist(), strict=True):
+        a, b = find(x), find(y)
+        if a != b:
+            parent[a] = b
+            out.append((max(ids[x], ids[y]), min(ids[x], ids[y])))
     return out
 
 
-def verified(docs: DataFrame, members: DataFrame, candidates: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """(u, v): links that connect all similar sets of each candidate component.
+def verified(rows: DataFrame, members: DataFrame, candidates: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK, elements: int = ELEMENTS) -> DataFrame:
+    """(u, v): links between set keys that connect all similar sets of each candidate component.
 
-    ``members``: (doc_id, set_id); ``candidates``: (node, root). Components of more than ``block`` sets are compared by pairs
-    of blocks, each a task's work of bounded size.
+    ``members``: (doc_id, row, set_key, node, n_shingles); ``candidates``: (node, root). A component that is no larger than a
+    block is compared whole; of others, blocks of sets of similar size, each pair of them a task's work of bounded size.
     """
     roots = candidates.select(F.col("root").alias("node"), "root").distinct()
     nodes = candidates.unionByName(roots)
-    sizes = nodes.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    first = members.where("set_id is not null").groupBy(F.col("set_id").alias("node")).agg(F.min("doc_id").alias("doc_id"))
-    wanted = nodes.join(sizes, "root").join(first, "node")
+    each = members.where("set_key is not null").groupBy("set_key").agg(F.min("node").alias("node"), F.min("n_shingles").alias("n"), F.min(F.struct(*ROW)).alias("at"))
+    # Sizes of one tier differ by a little more than similar sets can, so those of tiers further apart aren't similar.
+    tier = F.floor(F.log(F.col("n").cast("double")) / F.lit(log(101 / percent))).cast("int")
+    wanted = checkpointed(each.join(nodes, "node").select("root", "set_key", "n", tier.alias("tier"), F.col("at.doc_id").alias("doc_id"), F.col("at.row").alias("row")))
+    blocks = lambda count, total: F.ceil(F.greatest(count / block, total / elements)).cast("int")
+    tiers = wanted.groupBy("root", "tier").agg(F.count("*").alias("sets"), F.sum("n").alias("n"))
+    listed = tiers.groupBy("root").agg(blocks(F.sum("sets"), F.sum("n")).alias("all_"), F.map_from_entries(F.collect_list(F.struct("tier", blocks(F.col("sets"), F.col("n"))))).alias("blocks"))
+    listed = listed.select("root", F.when(F.col("all_") > 1, F.col("blocks")).alias("blocks"))
+    wanted = wanted.join(listed, "root")
+    of = lambda t: F.coalesce(F.element_at("blocks", t), F.lit(0))
+    own = F.pmod(F.xxhash64("set_key"), of(F.col("tier"))).cast("int")
+    cell = lambda ta, a, tb, b, side: F.struct(ta.alias("ta"), a.alias("a"), tb.alias("tb"), b.alias("b"), side.cast("int").alias("side"))
+    upto = lambda n, f: F.transform(F.filter(F.sequence(F.lit(-1), n - 1), lambda k: k >= 0), f)
+    t, zero, one = F.col("tier"), F.lit(0), F.lit(1)
+    within = upto(of(t), lambda k: cell(t, F.least(own, k), t, F.greatest(own, k), F.when(own <= k, 0).otherwise(1)))
+    above = upto(of(t + 1), lambda k: cell(t, own, t + 1, k, zero))
+    under = upto(of(t - 1), lambda k: cell(t - 1, k, t, own, one))
+    cells = F.when(F.col("blocks").isNull(), F.array(cell(zero, zero, zero, zero, zero))).otherwise(F.concat(within, above, under))
+    wanted = wanted.select("root", "set_key", "doc_id", "row", cells.alias("cells"))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [shingles(t, words) for t in b.column(0).to_pylist()]
-            # Rows of one doc_id may differ in their texts: only the one that has the set counts.
-            keep = [k for k, (i, s) in enumerate(zip(b.column(1).to_pylist(), x, strict=True)) if len(s) and set_id(s) == i]
-            at = pa.array(keep, pa.int64())
-            yield batch(("node", "root", "blocks", "content"), (b.column(1).take(at), b.column(2).take(at), b.column(3).take(at), [x[k].tobytes() for k in keep]), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))
-
-    found = documents(docs).join(wanted, "doc_id").select("text", "node", "root", "blocks").mapInArrow(hashes, "node long, root long, blocks int, content binary")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    # A block meets itself and every other: (i, j) with i <= j.
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
-    dealt = found.select("node", "root", "content", own.alias("own"), F.explode(pairs).alias("pair")).select("node", "root", "content", "own", "pair.i", "pair.j")
-    dealt = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
+            content = [shingles(t, words).tobytes() for t in b.column(0).to_pylist()]
+            yield batch(("content", *b.schema.names[1:]), (content, *b.columns[1:]), (pa.binary(), *b.schema.types[1:]))
+
+    # Rows alike in doc_id and text give the same content; dropped where they meet.
+    near = Marks(wanted, *ROW).there(rows.select(*ROW, "text"))
+    texts = near.join(wanted, ROW).select("text", "root", "set_key", F.explode("cells").alias("c")).select("text", "root", "set_key", "c.*")
+    dealt = texts.repartition("root", "ta", "a", "tb", "b").sortWithinPartitions("root", "ta", "a", "tb", "b", "set_key")
+    names = ("root", "set_key", "ta", "a", "tb", "b", "side")
+    found = map_arrow(dealt.select("text", *names), hashes, "content binary, root long, set_key binary, ta int, a int, tb int, b int, side int")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def settle(key, group: dict[int, tuple[np.ndarray, int]]) -> list[tuple[int, int]]:
-            _, i, j = key
-            return similar(list(group), [c for c, _ in group.values()], np.array([int(o != i) for _, o in group.values()]) if i != j else np.zeros(len(group), int), percent)
+        def settle(group: dict[bytes, tuple[np.ndarray, int]]) -> list[tuple]:
+            return similar(list(group), [c for c, _ in group.values()], np.array([s for _, s in group.values()]), percent)
 
-        key, group = None, {}
+        last, group = None, {}
         for b in batches:
-            edges = []
-            columns = [b.column(k).to_pylist() for k in range(6)]
-            for node, root, content, o, i, j in zip(*columns, strict=True):
-                if (root, i, j) != key:
+            edges: list[tuple] = []
+            for content, root, key, ta, x, tb, y, side in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (root, ta, x, tb, y) != last:
                     if len(group) > 1:
-                        edges += settle(key, group)
-                    key, group = (root, i, j), {}
-                group[node] = np.frombuffer(content, np.uint64), o
-            yield batch(("u", "v"), ([e[0] for e in edges], [e[1] for e in edges]), (pa.int64(), pa.int64()))
-        if len(group) > 1:
-            edges = settle(key, group)
-            yield batch(("u", "v"), ([e[0] for e in edges], [e[1] for e in edges]), (pa.int64(), pa.int64()))
+                        edges += settle(group)
+                    last, group = (root, ta, x, tb, y), {}
+                group[key] = np.frombuffer(content, np.uint64), side
+            yield batch(("u", "v"), ([e[0] for e in edges], [e[1] for e in edges]), (pa.binary(), pa.binary()))
+        edges = settle(group) if len(group) > 1 else []
+        yield batch(("u", "v"), ([e[0] for e in edges], [e[1] for e in edges]), (pa.binary(), pa.binary()))
 
-    return checkpointed(dealt.mapInArrow(compare, "u long, v long"))
+    return checkpointed(map_arrow(found, compare, "u binary, v binary"))
+
+
+def classes(rows: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, row, n_shingles, least): every row of identified(), and the least (doc_id, row) of its component.
+
+    ``least`` is null for an empty set.
+    """
+    found = checkpointed(sets(rows, words))
+    members, hot = found.where("hot is null").drop("hot", "df"), hot_shingles(found)
+    links = verified(rows, members, components(candidate_edges(rows, words, percent, hot)), words, percent)
+    found = components(links)
+    # The least row of a set, then of a component: pre-aggregated before each shuffle.
+    least = members.where("set_key is not null").groupBy("set_key").agg(F.min(F.struct(*ROW)).alias("least"))
+    rooted = least.join(found.select(F.col("node").alias("set_key"), "root"), "set_key", "left").select("set_key", F.coalesce("root", "set_key").alias("root"), "least")
+    of_root = rooted.groupBy("root").agg(F.min("least").alias("least"))
+    of_set = checkpointed(rooted.select("set_key", "root").join(of_root, "root").select("set_key", "least"))
+    return members.join(of_set, "set_key", "left").select(*ROW, "n_shingles", "least")
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
-    found = checkpointed(sets(docs, words))
-    members, hot = found.where("hot is null").select("doc_id", "set_id", "n_shingles"), hot_shingles(found)
-    links = verified(docs, members, components(candidate_edges(docs, words, percent, hot)), words, percent)
-    found = components(links)
-    # The least doc_id of a set, then of a component: pre-aggregated before each shuffle.
-    least = members.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
-    rooted = least.join(found.select(F.col("node").alias("set_id"), "root"), "set_id", "left").select("set_id", F.coalesce("root", "set_id").alias("root"), "least")
-    of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_set = checkpointed(rooted.join(of_root, "root").select("set_id", "component_id"))
-    return members.join(of_set, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    known = lambda c: F.when(c != NULL_ID, c)
+    return classes(identified(docs), words, percent).select(known(F.col("doc_id")).alias("doc_id"), "n_shingles", known(F.coalesce("least.doc_id", "doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one document of each component: the least by doc_id, then by its text's hash; empty sets all stay.
+
+    Of rows alike in doc_id and text one stays, the first by its other columns as JSON.
+    """
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = identified(docs, rest)
+    found = checkpointed(classes(rows, words, percent))
+    own = F.struct(*ROW)
+    gone = found.where(F.col("least").isNotNull() & (F.col("least") != own)).select(*ROW).distinct()
+    twice = found.groupBy(*ROW).agg(F.count("*").alias("n")).where("n > 1").select(*ROW)
+    gone = checkpointed(gone)
+    some, free = Marks(gone.unionByName(twice), *ROW).split(rows)
+    kept = some.join(gone, ROW, "left_anti")
+    text = F.min("text").alias("text")
+    kept = kept.groupBy(*ROW).agg(text, F.min_by("rest", F.to_json("rest")).alias("rest")) if rest else kept.groupBy(*ROW).agg(text)
+    out = kept.select(*rows.columns).unionByName(free)
+    own_columns = {"doc_id": F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text": F.col("text")}
+    return out.select(*[own_columns[c] if c in own_columns else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])

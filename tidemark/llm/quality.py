@@ -8,7 +8,9 @@ The field is trained on at most ``SAMPLE`` labelled documents, those with the lo
 poor documents that a first model then finds content are relabelled before the second, which is used.
 
 Null text: no words, no lines; it fails the base rules as any text of under 50 words. Lines without a word have no label.
-Without labelled documents of both kinds the base rules alone decide. One row a row of input; other columns are ignored.
+Without labelled documents of both kinds the base rules alone decide. A share of exactly ``SHARE`` keeps, and of equally
+probable labellings the one with more boilerplate at the end counts. Very long texts are labelled whole, line by line.
+One row a row of input, repeated rows alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batch
+from tidemark.llm.common import batch, documents, map_arrow
 
 SAMPLE, SAMPLE_LINES, SHARE = 1000, 2000, 0.5
 MIN_WORDS, MAX_REPEAT = 50, 50
@@ -154,12 +156,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field | N
         for b in batches:
             got = [(d, q, lines_of(x or "")[1]) for d, q, x in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)]
             got = [g for g in got if 0 < len(g[2]) <= SAMPLE_LINES]
-            yield batch(("doc_id", "quality", "x"), ([g[0] for g in got], [g[1] for g in got], [g[2].ravel() for g in got]), (pa.int64(), pa.int32(), pa.list_(pa.float64())))
+            yield batch(("doc_id", "quality", "x"), ([g[0] for g in got], [g[1] for g in got], [g[2].tobytes() for g in got]), (pa.int64(), pa.int32(), pa.binary()))
 
     # The sample is bounded, so it is the side to broadcast; no text is shuffled.
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text").mapInArrow(features, "doc_id long, quality int, x array<double>")
-    found = sorted(rows.collect(), key=lambda r: (r.doc_id, r.x))
-    sequences = [(np.array(r.x).reshape(-1, FEATURES), np.full(len(r.x) // FEATURES, int(r.quality > 0))) for r in found]
+    rows = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text"), features, "doc_id long, quality int, x binary")
+    # At most SAMPLE * SAMPLE_LINES lines of FEATURES doubles, as packed bytes.
+    found = sorted(((r.doc_id, bytes(r.x), r.quality) for r in rows.collect()), key=lambda r: r[:2])
+    sequences = [(x := np.frombuffer(b).reshape(-1, FEATURES), np.full(len(x), int(q > 0))) for _, b, q in found]
     if len({int(y[0]) for _, y in sequences}) < 2:
         return None
     first = Field.fit([(x[k : k + 1], y[k : k + 1]) for x, y in sequences for k in range(len(y))])
@@ -207,15 +210,22 @@ NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 TYPES = (*[pa.int64()] * 5, pa.bool_(), pa.bool_(), pa.float64())
 
 
-def label(docs: DataFrame, field: Field | None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_words, word_chars, ..., kept, content_share, *keep) of every row of ``docs``."""
+def kept(text: Column, field: Field | None) -> Column:
+    """Whether a text is kept; only the text goes to Python, whatever else its row has."""
+
+    @F.arrow_udf("boolean")
+    def verdict(t: pa.Array) -> pa.Array:
+        return pa.array([measure(x or "", field)[6] for k in range(0, len(t), 64) for x in t.slice(k, 64).to_pylist()], pa.bool_())
+
+    return verdict(text.cast("string"))
+
+
+def label(docs: DataFrame, field: Field | None) -> DataFrame:
+    """(doc_id, n_words, word_chars, ..., kept, content_share) of every row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = list(zip(*(measure(x or "", field) for x in b.column(1).to_pylist()), strict=True)) or [[]] * len(NAMES)
-            rest = [b.column(k) for k in range(2, b.num_columns)]
-            yield batch(["doc_id", *NAMES, *b.schema.names[2:]], [b.column(0), *got, *rest], [pa.int64(), *TYPES, *[c.type for c in rest]])
+            yield batch(["doc_id", *NAMES], [b.column(0), *got], [pa.int64(), *TYPES])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text_"), *keep)
-    kept = "".join(f", `{c}` {t}" for c, t in rows.dtypes[2:])
-    return rows.mapInArrow(run, f"doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double{kept}")
+    return map_arrow(documents(docs), run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double")

@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batch, checkpointed
-from tidemark.llm.windows import NULL_ID, ROW, Hashes, Plan, contents, coverage, identified, mix, removed, repeated_segments, true_runs, with_bytes
+from tidemark.llm.common import NULL_ID, ROW, batch, checkpointed, identified, map_arrow
+from tidemark.llm.windows import Hashes, Plan, contents, coverage, in_blocks, mix, removed, repeated_segments, true_runs, with_bytes
 
 WINDOW, GRAM = 400, 200
-#: Bytes of contents that are ranked together. Keys with more than HOT contents go by window instead.
-SHARD, HOT = 4_000_000, 8192
+#: Bytes of contents that are ranked together, and contents of a key that are: those of a key with more are dealt to several blocks.
+SHARD, BLOCK = 4_000_000, 1024
 TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -80,12 +80,12 @@ def repeated_windows(data: list[bytes], w: int = WINDOW) -> list[np.ndarray]:
 
 
 def resolve(rows: DataFrame, w: int = WINDOW) -> DataFrame:
-    """(key, content, a, b): windows of contents (key, content, data) that occur elsewhere among the contents of their key."""
+    """(key, content, a, b): windows of contents (key, block, content, data) that occur elsewhere in their block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def settle(group: list[tuple]) -> pa.RecordBatch:
             out: tuple[list, ...] = ([], [], [], [])
-            for (key, content, _), flags in zip(group, repeated_windows([g[2] for g in group], w), strict=True):
+            for (key, _, content, _), flags in zip(group, repeated_windows([g[3] for g in group], w), strict=True):
                 for a, b in true_runs(flags):
                     for c, v in zip(out, (key, content, a, b), strict=True):
                         c.append(v)
@@ -94,21 +94,21 @@ def resolve(rows: DataFrame, w: int = WINDOW) -> DataFrame:
         shard: list[tuple] = []
         size, last = 0, None
         for b in batches:
-            for row in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                if size >= SHARD and row[0] != last:
+            for row in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                if size >= SHARD and row[:2] != last:
                     yield settle(shard)
                     shard, size = [], 0
                 shard.append(row)
-                size += len(row[2])
-                last = row[0]
+                size += len(row[3])
+                last = row[:2]
         if shard:
             yield settle(shard)
 
-    return rows.select("key", "content", "data").mapInArrow(run, "key long, content long, a long, b long")
+    return map_arrow(rows.select("key", "block", "content", "data"), run, "key long, content long, a long, b long")
 
 
-def resolve_hot(rows: DataFrame, w: int = WINDOW) -> DataFrame:
-    """As resolve(), for keys with very many contents: by the windows' hashes, pre-aggregated, so that no task holds a key."""
+def resolve_blocks(rows: DataFrame, w: int = WINDOW) -> DataFrame:
+    """As resolve(), for what the blocks of a key share: by digests of the windows, pre-aggregated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -118,20 +118,18 @@ def resolve_hot(rows: DataFrame, w: int = WINDOW) -> DataFrame:
                 n = len(h1)
                 yield batch(("key", "content", "a", "h1", "h2"), (np.full(n, key), np.full(n, content), np.arange(n), h1.view(np.int64), h2.view(np.int64)), (pa.int64(),) * 5)
 
-    each = rows.select("key", "content", "data").mapInArrow(run, "key long, content long, a long, h1 long, h2 long")
+    each = map_arrow(rows.select("key", "content", "data"), run, "key long, content long, a long, h1 long, h2 long")
     again = each.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
     return each.join(again, ["h1", "h2"], "left_semi").select("key", "content", "a", (F.col("a") + 1).alias("b"))
 
 
-def dedup(docs: DataFrame, w: int = WINDOW, hot: int = HOT) -> DataFrame:
+def dedup(docs: DataFrame, w: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """(doc_id, text, runs): every document with the ranges of windows that start anywhere else too."""
-    rows, p = identified(docs), Plan(w, w // 2, symbols, slices)
+    rows, p = identified(docs), Plan(w, w // 2, block, symbols, slices)
     found = repeated_segments(rows, p, across=False)
-    each = checkpointed(contents(found))
-    several = with_bytes(rows, each.where("n_contents > 1"), p, "key long, content long, n_contents long")
-    parts = resolve(several.where(F.col("n_contents") <= hot).repartition("key").sortWithinPartitions("key"), w)
-    if each.where(F.col("n_contents") > hot).limit(1).count():
-        parts = parts.unionByName(resolve_hot(several.where(F.col("n_contents") > hot), w))
+    each = contents(found, p)
+    several = checkpointed(with_bytes(rows, each.where("n_contents > 1"), p, "key long, block int, blocks int, content long"))
+    parts = resolve(in_blocks(several), w).unionByName(resolve_blocks(several.where("blocks > 1"), w))
     lists = parts.groupBy("key", "content").agg(F.collect_list(F.struct("a", "b")).alias("parts"))
     info = checkpointed(each.select("key", "content", "n").join(lists, ["key", "content"], "left").where("n > 1 or parts is not null"))
     seen = found.join(info, ["key", "content"])
@@ -159,4 +157,4 @@ def digests(found: DataFrame, w: int = WINDOW) -> DataFrame:
             ids = [None if x == NULL_ID else x for x in b.column(0).to_pylist()]
             yield batch(("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), (ids, *[[g[k] for g in got] for k in range(3)], [hashlib.sha256(g[3]).hexdigest() for g in got]), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))
 
-    return found.select("doc_id", "text", "runs").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return map_arrow(found.select("doc_id", "text", "runs"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

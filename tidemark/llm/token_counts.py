@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batch, documents, texts, tokenizer_path
+from tidemark.llm.common import batch, cache_of, documents, map_arrow, texts, tokenizer_path
 from tidemark.llm.units import UnitCache, cut, split_by_offsets, together
 
 #: Entries of the broadcast table, characters of an entry, entries of a task's sketch.
@@ -82,20 +82,17 @@ def unit_counter(path: str):
     return encode
 
 
-_workers: dict = {}
-
-
 def _worker(path: str, packed, name: str):
     """This worker's library and cache, kept between tasks of the same table."""
-    key = (path, name)
-    if key not in _workers:
-        _workers.clear()
+    key, kept = (path, name), cache_of("token_counts")
+    if key not in kept:
+        kept.clear()
         cache = None
         if packed is not None:
             joined, lengths = packed.value
             cache = UnitCache(unit_counter(path), dict(zip(joined.split(" "), lengths, strict=True)) if lengths else {})
-        _workers[key] = load(path), cache
-    return _workers[key]
+        kept[key] = load(path), cache
+    return kept[key]
 
 
 def count_texts(texts: list[str], count, cache: UnitCache | None) -> list[int]:
@@ -130,7 +127,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def frequent_units(docs: DataFrame, path: str, size: int = TABLE_SIZE):
     """The broadcast table: frequent units joined by spaces, and their token counts as bytes."""
     spark = docs.sparkSession
-    rows = documents(docs).select("text").mapInArrow(_sketch, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "unit").limit(size).collect()
+    rows = map_arrow(documents(docs).select("text"), _sketch, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "unit").limit(size).collect()
     units = [r.unit for r in rows]
     lengths = unit_counter(path)(units)
     return spark.sparkContext.broadcast((" ".join(units), lengths))
@@ -152,4 +149,4 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 512, tab
             size = pc.fill_null(pc.cast(pc.binary_length(b.column(1)), pa.int64()), 0)
             yield batch(("doc_id", "n_bytes", "n_tokens", "over_limit"), (b.column(0), size, n, [x > limit for x in n]), (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))
 
-    return documents(docs).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_arrow(documents(docs), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

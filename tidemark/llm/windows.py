@@ -11,7 +11,10 @@ with the same anchor. So windows only have to be compared within the segments of
 
 A row is known by its doc_id and a hash of its text, so that rows that share a doc_id, or have none, are each looked at
 and cut alone; the doc_id itself only tells who is smaller. A null doc_id counts as the greatest. All shuffles carry
-hashes and positions, but for the contents of the last kind.
+hashes and positions, but for the contents of the last kind, and texts of rows that have such contents or lose something.
+
+The contents of a key that has very many are dealt out to blocks of ``Plan.block`` of them; what two blocks share is found by
+digests of their windows. So no task holds more than a block of a key.
 """
 
 from __future__ import annotations
@@ -23,11 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batch, checkpointed
+from tidemark.llm.common import ROW, Marks, batch, checkpointed, map_arrow
 
-NULL_ID = (1 << 63) - 1
-#: What a row is known by.
-ROW = ["doc_id", "row"]
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: Windows of a document that are handled at once.
@@ -96,8 +96,8 @@ def segments(symbols: np.ndarray, w: int, k: int) -> Iterator[tuple[np.ndarray,
 class Plan:
     """How an operator sees texts: their symbols, and how contents are compared and results made."""
 
-    def __init__(self, w: int, k: int, symbols: Callable[[str], np.ndarray], slices: Callable[[str, list[tuple[int, int]]], list[bytes]]):
-        self.w, self.k, self.symbols, self.slices = w, k, symbols, slices
+    def __init__(self, w: int, k: int, block: int, symbols: Callable[[str], np.ndarray], slices: Callable[[str, list[tuple[int, int]]], list[bytes]]):
+        self.w, self.k, self.block, self.symbols, self.slices = w, k, block, symbols, slices
 
 
 def all_segments(docs: DataFrame, plan: Plan) -> DataFrame:
@@ -121,32 +121,30 @@ def all_segments(docs: DataFrame, plan: Plan) -> DataFrame:
             if size:
                 yield batch(names, [np.concatenate(c) for c in out], types)
 
-    return docs.select(*ROW, "text").mapInArrow(run, "key long, content long, doc_id long, row long, first long, windows int")
-
-
-def identified(docs: DataFrame, rest: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, row, text, rest) with NULL_ID for a null doc_id; ``rest`` is a struct of columns to carry along."""
-    carried = [F.struct(*[F.col(c) for c in rest]).alias("rest")] if rest else []
-    text = F.col("text").cast("string")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"), *carried)
+    return map_arrow(docs.select(*ROW, "text"), run, "key long, content long, doc_id long, row long, first long, windows int")
 
 
 def repeated_segments(docs: DataFrame, plan: Plan, across: bool) -> DataFrame:
-    """The segments whose key occurs again; in another document if ``across``. Written to the checkpoint folder."""
+    """The segments whose key occurs again; in another document if ``across``. Written to the checkpoint folder.
+
+    Only segments that Marks of the repeated keys let through are shuffled to these.
+    """
     found = all_segments(docs, plan)
     if across:
         keys = found.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
     else:
         keys = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    return checkpointed(found.join(checkpointed(keys), "key", "left_semi"))
+    keys = checkpointed(keys)
+    return checkpointed(Marks(keys, "key").there(found).join(keys, "key", "left_semi"))
 
 
-def contents(segments_: DataFrame) -> DataFrame:
-    """One row a content of each key: where it stands first, how often it occurs, and how many contents its key has."""
+def contents(segments_: DataFrame, plan: Plan) -> DataFrame:
+    """One row a content of each key: where it stands first, how often it occurs, its key's contents and blocks, its block."""
     each = segments_.groupBy("key", "content").agg(F.min(F.struct(*ROW, "first")).alias("at"), F.count("*").alias("n"), F.max("windows").alias("windows"))
     each = checkpointed(each.select("key", "content", F.col("at.doc_id").alias("owner"), F.col("at.row").alias("row"), F.col("at.first").alias("first"), "n", "windows"))
     many = each.groupBy("key").agg(F.count("*").alias("n_contents")).where("n_contents > 1")
-    return each.join(checkpointed(many), "key", "left")
+    blocks = F.ceil(F.col("n_contents") / plan.block).cast("int")
+    return checkpointed(each.join(checkpointed(many), "key", "left").withColumn("blocks", blocks).withColumn("block", F.pmod("content", blocks).cast("int")))
 
 
 def with_bytes(docs: DataFrame, wanted: DataFrame, plan: Plan, columns: str) -> DataFrame:
@@ -155,7 +153,8 @@ def with_bytes(docs: DataFrame, wanted: DataFrame, plan: Plan, columns: str) ->
     ``columns`` is the schema of what is carried along; its names are those of ``wanted``. Of equal rows one gives the bytes.
     """
     names = [c.split()[0] for c in columns.split(", ")]
-    lists = wanted.groupBy(F.col("owner").alias("doc_id"), "row").agg(F.collect_list(F.struct("first", "windows", *names)).alias("wanted"))
+    wanted = wanted.withColumn("doc_id", F.col("owner"))
+    lists = wanted.groupBy(*ROW).agg(F.collect_list(F.struct("first", "windows", *names)).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # a join leaves equal rows next to each other, mostly; resolve() may meet a content twice
@@ -172,7 +171,13 @@ def with_bytes(docs: DataFrame, wanted: DataFrame, plan: Plan, columns: str) ->
             schema = {c.split()[0]: kinds[c.split()[1]] for c in columns.split(", ")}
             yield batch([*names, "windows", "data"], [*[[r[n] for r in rows] for n in names], [r["windows"] for r in rows], data], [*schema.values(), pa.int32(), pa.binary()])
 
-    return docs.select(*ROW, "text").join(lists, ROW).select(*ROW, "text", "wanted").mapInArrow(run, f"{columns}, windows int, data binary")
+    near = Marks(wanted, *ROW).there(docs.select(*ROW, "text"))
+    return map_arrow(near.join(lists, ROW).select(*ROW, "text", "wanted"), run, f"{columns}, windows int, data binary")
+
+
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """Contents dealt to tasks by key and block, those of one side by side."""
+    return rows.repartition("key", "block").sortWithinPartitions("key", "block")
 
 
 def true_runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -192,7 +197,10 @@ def coverage(n: int, runs: list, extra: int) -> np.ndarray:
 
 
 def removed(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(doc_id, text, runs): every document with the window ranges (doc_id, row, a, b) found in it."""
+    """(doc_id, text, runs): every document with the window ranges (doc_id, row, a, b) found in it; others aren't shuffled."""
+    ranges = checkpointed(ranges)
+    some, free = Marks(ranges, *ROW).split(docs)
     # A set: equal rows bring the same ranges each.
     lists = ranges.groupBy(*ROW).agg(F.collect_set(F.struct("a", "b")).alias("runs"))
-    return docs.join(lists, ROW, "left").drop("row")
+    found = some.join(lists, ROW, "left").drop("row")
+    return found.unionByName(free.drop("row").withColumn("runs", F.lit(None).cast("array<struct<a:bigint,b:bigint>>")))
