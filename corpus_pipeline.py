@@ -1,51 +1,49 @@
 """From raw documents to packed training sequences, in five stages, each by one operator of tidemark.llm.
 
-Every stage takes all rows that the one before kept. Rows without doc_id pass the near-duplicate stage, as nothing names
-them; of repeated rows of a doc_id it keeps one. The text of a document that loses every word stays, empty.
+Every stage takes all rows that the one before kept, and all but the last return the columns of documents, whatever these
+are called. A null text or one without a word fails the quality rules. Rows without doc_id are documents like others. Of rows
+alike in doc_id and text, and of each group of near duplicates, one stays, see partenum.keep_one(); rows that share a doc_id
+but not their text are different documents. A text that loses every word in substring dedup stays, empty, and packs as its
+end-of-text id. Very long texts go through whole. Tables without rows give none.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import fm_dedup, langid, packing, partenum, quality
-from tidemark.llm.common import checkpointed, table
+from tidemark.llm.common import checkpoint_folder, table
 
 #: Score below which a text is taken for no language.
 MIN_SCORE = 0.25
 
 
-def _with_row(docs: DataFrame) -> DataFrame:
-    return docs.select(*docs.columns, F.struct(*[F.col(c) for c in docs.columns]).alias("whole_row_"))
-
-
-def _rows(df: DataFrame) -> DataFrame:
-    return df.select("whole_row_.*")
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the line labels keep."""
-    field = quality.train(docs, table(spark, sf_dir, "labels"))
-    return _rows(quality.label(_with_row(docs), field, ("whole_row_",)).where("kept"))
+    return docs.where(quality.kept(F.col("text"), quality.train(docs, table(spark, sf_dir, "labels"))))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language."""
-    found = langid.identify(_with_row(docs), langid.learn(docs), keep=("whole_row_",))
-    return _rows(found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE)))
+    """Documents with a language; all of them where no document has a lang to learn from."""
+    profiles = langid.learn(docs) if "lang" in docs.columns else {}
+    if not profiles:
+        return docs
+    found = langid.predicted(F.col("text"), profiles)
+    return docs.where((found["lang_pred"] != langid.UNKNOWN) & (found["score"] >= MIN_SCORE))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The least document of each group of near duplicates."""
-    ids = partenum.join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    return partenum.keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that a smaller document has too."""
-    return fm_dedup.clean(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Documents without the passages that a smaller document has too; n_chars, where there is one, follows the text."""
+    found = fm_dedup.clean(docs)
+    return found.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*[f"`{c}`" for c in docs.columns]) if "n_chars" in docs.columns else found
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,10 +63,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written to the checkpoint folder before the next stage reads it."""
+    """All stages over documents; each result is written as Parquet to the checkpoint folder and read by the next stage."""
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
+    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = checkpointed(docs)
+            docs.write.parquet(f"{folder}/{name}")
+            docs = spark.read.schema(docs.schema).parquet(f"{folder}/{name}")
     return docs
