@@ -287,7 +287,7 @@ def encode_texts(texts: list[str], encoder: Encoder, cache: UnitCache) -> list[b
 
 
 def _worker(path: str) -> tuple[Encoder, UnitCache]:
-    cache = cache_of("bpe")
+    cache = cache_of(__name__)
     if path not in cache:
         cache.clear()
         e = Encoder(load_ranks(path))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of a batch that a worker looks at at once; words whose hash it remembers; bits of a filter of rows (Marks).
 SLICE, REMEMBERED, MARK_BITS = 4 << 20, 200_000, 25
+BATCH, BATCH_BYTES = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 NULL_ID = (1 << 63) - 1
 #: What a row is known by: its doc_id, NULL_ID for none, and a hash of its text.
 ROW = ["doc_id", "row"]
@@ -90,16 +91,17 @@ class WordHashes(dict):
 
 
 word_hashes = WordHashes()
-#: A worker's caches by their operator.
+#: A worker's caches by their operator's module.
 _caches: dict[str, dict] = {}
 
 
-def cache_of(operator: str) -> dict:
-    """This worker's cache for an operator; those of others, which ran in this worker before, are emptied."""
+def cache_of(module: str) -> dict:
+    """This worker's cache for an operator, by its module; those of others, which ran in this worker before, are emptied."""
     for name, x in _caches.items():
-        if name != operator:
+        if name != module and x:
             x.clear()
-    return _caches.setdefault(operator, {})
+            release()
+    return _caches.setdefault(module, {})
 
 
 def sliced(batches: Iterator[pa.RecordBatch], most: int = SLICE) -> Iterator[pa.RecordBatch]:
@@ -119,15 +121,26 @@ def release() -> None:
         pass
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches between the JVM and Python of at most BATCH bytes, unless the session says otherwise.
+
+    Spark's own limit is by rows, and rows with long texts make batches of any size.
+    """
+    if not spark._jsparkSession.sessionState().conf().contains(BATCH_BYTES):
+        spark.conf.set(BATCH_BYTES, str(BATCH))
+
+
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow over batches of bounded bytes, in a worker that keeps no memory between tasks but its caches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache_of(f.__module__)
         try:
             yield from f(sliced(batches))
         finally:
             release()
 
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -20,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import NULL_ID, ROW, batch, checkpointed, identified, map_arrow, word_hashes
+from tidemark.llm.common import NULL_ID, ROW, batch, bounded_batches, cache_of, checkpointed, identified, map_arrow, word_hashes
 from tidemark.llm.windows import Plan, contents, coverage, in_blocks, removed, repeated_segments, true_runs, with_bytes
 
 WINDOW, GRAM = 50, 25
@@ -235,8 +235,11 @@ def digests(found: DataFrame, w: int = WINDOW) -> DataFrame:
 def kept_text(text: Column, runs: Column, w: int = WINDOW) -> Column:
     """A text without the words that ``runs`` cover, the others joined by a space; as it is where nothing goes."""
 
+    bounded_batches(SparkSession.active())
+
     @F.arrow_udf("string")
     def kept(t: pa.Array, r: pa.Array) -> pa.Array:
+        cache_of(__name__)
         return pa.array([x if not y else kept_words(x or "", y, w)[2].decode() for x, y in zip(t.to_pylist(), r.to_pylist(), strict=True)], pa.string())
 
     return F.when(runs.isNull(), text).otherwise(kept(text, runs))

@@ -20,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batch, map_arrow
+from tidemark.llm.common import batch, bounded_batches, cache_of, map_arrow
 
 #: Labelled documents a language at most; n-grams of a language's profile; n-grams of a document's profile.
 SAMPLE, PROFILE, OWN = 500, 400, 300
@@ -132,10 +132,12 @@ class Profiles:
 
 def predicted(text: Column, profiles: dict[str, list[int]], size: int = PROFILE) -> Column:
     """struct<lang_pred, score> of a text; only the text goes to Python, whatever else its row has."""
+    bounded_batches(SparkSession.active())
     fields = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
     @F.arrow_udf("lang_pred string, score double")
     def predict(t: pa.Array) -> pa.Array:
+        cache_of(__name__)
         p = Profiles(profiles, size)
         return pa.array([dict(zip(("lang_pred", "score"), p.predict(x), strict=True)) for k in range(0, len(t), 64) for x in t.slice(k, 64).to_pylist()], fields)
 

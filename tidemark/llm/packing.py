@@ -65,7 +65,7 @@ ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 
 
 def _worker(path: str):
-    cache = cache_of("packing")
+    cache = cache_of(__name__)
     if path not in cache:
         cache.clear()
         encode, whole = unit_ids(path)

@@ -41,7 +41,7 @@ from tidemark.llm.windows import Hashes, mix
 
 WORDS, PERCENT, BAND = 5, 80, 1.6
 #: Sets of a block of the exact join, and shingles of all its sets; signatures that a task holds before it sends them on.
-BLOCK, ELEMENTS, HELD = 2048, 1_000_000, 1_000_000
+BLOCK, ELEMENTS, HELD = 2048, 1_000_000, 600_000
 #: Frequent shingles: of a task, of all (8 bytes each in a broadcast), and how often one has to be seen.
 HOT_TASK, HOT, HOT_LEAST = 1 << 15, 1 << 16, 32
 
@@ -375,17 +375,11 @@ def verified(rows: DataFrame, members: DataFrame, candidates: DataFrame, words:
     cells = F.when(F.col("blocks").isNull(), F.array(cell(zero, zero, zero, zero, zero))).otherwise(F.concat(within, above, under))
     wanted = wanted.select("root", "set_key", "doc_id", "row", cells.alias("cells"))
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            content = [shingles(t, words).tobytes() for t in b.column(0).to_pylist()]
-            yield batch(("content", *b.schema.names[1:]), (content, *b.columns[1:]), (pa.binary(), *b.schema.types[1:]))
-
-    # Rows alike in doc_id and text give the same content; dropped where they meet.
+    # Rows alike in doc_id and text give the same set; dropped where they meet.
     near = Marks(wanted, *ROW).there(rows.select(*ROW, "text"))
     texts = near.join(wanted, ROW).select("text", "root", "set_key", F.explode("cells").alias("c")).select("text", "root", "set_key", "c.*")
     dealt = texts.repartition("root", "ta", "a", "tb", "b").sortWithinPartitions("root", "ta", "a", "tb", "b", "set_key")
-    names = ("root", "set_key", "ta", "a", "tb", "b", "side")
-    found = map_arrow(dealt.select("text", *names), hashes, "content binary, root long, set_key binary, ta int, a int, tb int, b int, side int")
+    dealt = dealt.select("text", "root", "set_key", "ta", "a", "tb", "b", "side")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def settle(group: dict[bytes, tuple[np.ndarray, int]]) -> list[tuple]:
@@ -394,17 +388,18 @@ def verified(rows: DataFrame, members: DataFrame, candidates: DataFrame, words:
         last, group = None, {}
         for b in batches:
             edges: list[tuple] = []
-            for content, root, key, ta, x, tb, y, side in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for text, root, key, ta, x, tb, y, side in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (root, ta, x, tb, y) != last:
                     if len(group) > 1:
                         edges += settle(group)
                     last, group = (root, ta, x, tb, y), {}
-                group[key] = np.frombuffer(content, np.uint64), side
+                if key not in group:
+                    group[key] = shingles(text, words), side
             yield batch(("u", "v"), ([e[0] for e in edges], [e[1] for e in edges]), (pa.binary(), pa.binary()))
         edges = settle(group) if len(group) > 1 else []
         yield batch(("u", "v"), ([e[0] for e in edges], [e[1] for e in edges]), (pa.binary(), pa.binary()))
 
-    return checkpointed(map_arrow(found, compare, "u binary, v binary"))
+    return checkpointed(map_arrow(dealt, compare, "u binary, v binary"))
 
 
 def classes(rows: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

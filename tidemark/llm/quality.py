@@ -20,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batch, documents, map_arrow
+from tidemark.llm.common import batch, bounded_batches, cache_of, documents, map_arrow
 
 SAMPLE, SAMPLE_LINES, SHARE = 1000, 2000, 0.5
 MIN_WORDS, MAX_REPEAT = 50, 50
@@ -212,9 +212,11 @@ TYPES = (*[pa.int64()] * 5, pa.bool_(), pa.bool_(), pa.float64())
 
 def kept(text: Column, field: Field | None) -> Column:
     """Whether a text is kept; only the text goes to Python, whatever else its row has."""
+    bounded_batches(SparkSession.active())
 
     @F.arrow_udf("boolean")
     def verdict(t: pa.Array) -> pa.Array:
+        cache_of(__name__)
         return pa.array([measure(x or "", field)[6] for k in range(0, len(t), 64) for x in t.slice(k, 64).to_pylist()], pa.bool_())
 
     return verdict(text.cast("string"))

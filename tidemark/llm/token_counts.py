@@ -84,7 +84,7 @@ def unit_counter(path: str):
 
 def _worker(path: str, packed, name: str):
     """This worker's library and cache, kept between tasks of the same table."""
-    key, kept = (path, name), cache_of("token_counts")
+    key, kept = (path, name), cache_of(__name__)
     if key not in kept:
         kept.clear()
         cache = None
