@@ -27,6 +27,8 @@ from tidemark.llm.units import UnitCache, together
 
 #: Tokens of a sequence, and documents of a group.
 CAPACITY, GROUP = 4096, 8192
+#: Words whose ids a worker remembers; characters of texts that it encodes at once.
+CACHED, TOGETHER = 250_000, 2_000_000
 #: A bin whose room is at most a share DONE of it is not packed again in the next round. Once packing all others again
 #: saves nothing, one bin in REOPENED, the emptiest, is.
 REOPENED, DONE = 4, 1 / 1024
@@ -69,13 +71,13 @@ def _worker(path: str):
     if path not in cache:
         cache.clear()
         encode, whole = unit_ids(path)
-        cache[path] = UnitCache(encode), whole
+        cache[path] = UnitCache(encode, most=CACHED), whole
     return cache[path]
 
 
 def encode_texts(texts: list[str], cache: UnitCache, whole) -> Iterator[bytes]:
     """Packed ids of texts, by a vocabulary that drops white space."""
-    for run in together(texts):
+    for run in together(texts, TOGETHER):
         rows = [None if any(o in x for o in ODD) else x.split() for x in run]
         units: set[str] = set()
         for r in rows:

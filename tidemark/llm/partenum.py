@@ -15,8 +15,8 @@ are left out of the domain as long as the others suffice, see signatures().
 
 Sets stand for all documents that have them, so copies are one node; a set is known by 128 bits. Rows with the same
 signature become a star to their least set, per task before the shuffle and per signature after it. The stars' components
-hold all similar pairs. Within them an exact join verifies: sets fall into tiers of similar size, of which only neighbours can
-hold similar sets, and tiers into blocks of bounded size; two blocks are compared by counting the shingles that their sets
+hold all similar pairs. Within them an exact join verifies: sets fall into tiers by size, with those of the next tier that can be
+similar as guests, and tiers into blocks of bounded size; two blocks are compared by counting the shingles that their sets
 share. Verified links, as a spanning forest of each pair of blocks, give the final components.
 
 Null or empty text: an empty set, linked with nothing, even with another. Fewer than five words: the whole sequence as one
@@ -41,7 +41,7 @@ from tidemark.llm.windows import Hashes, mix
 
 WORDS, PERCENT, BAND = 5, 80, 1.6
 #: Sets of a block of the exact join, and shingles of all its sets; signatures that a task holds before it sends them on.
-BLOCK, ELEMENTS, HELD = 2048, 1_000_000, 600_000
+BLOCK, ELEMENTS, HELD = 2048, 4_000_000, 600_000
 #: Frequent shingles: of a task, of all (8 bytes each in a broadcast), and how often one has to be seen.
 HOT_TASK, HOT, HOT_LEAST = 1 << 15, 1 << 16, 32
 
@@ -323,11 +323,16 @@ def similar(ids: list, contents: list[np.ndarray], side: np.ndarray, percent: in
     """A spanning forest of the pairs at the threshold between two sides (or within one, where all sides are 0)."""
     n = len(ids)
     sizes = np.array([len(c) for c in contents], np.int64)
-    _, column, count = np.unique(np.concatenate(contents), return_inverse=True, return_counts=True)
-    keep = count[column] > 1
+    every = np.sort(np.concatenate(contents))
+    again = np.unique(every[1:][every[1:] == every[:-1]])
+    del every
+    at = [again.searchsorted(c) for c in contents]
+    keep = [again[np.minimum(x, len(again) - 1)] == c for x, c in zip(at, contents, strict=True)] if len(again) else [np.zeros(len(c), bool) for c in contents]
+    row = np.repeat(np.arange(n), [int(k.sum()) for k in keep])
+    column = np.concatenate([x[k] for x, k in zip(at, keep, strict=True)])
     left = np.flatnonzero(side == 0) if side.any() else np.arange(n)
     right = np.flatnonzero(side) if side.any() else left
-    common = shared(np.repeat(np.arange(n), sizes)[keep], column[keep], left, right)
+    common = shared(row, column, left, right)
     # 100 * common >= percent * (a + b - common), in whole numbers.
     i, j = np.nonzero((100 + percent) * common.astype(np.int64) >= percent * (sizes[left][:, None] + sizes[right][None, :]))
     parent = list(range(n))
@@ -356,30 +361,25 @@ def verified(rows: DataFrame, members: DataFrame, candidates: DataFrame, words:
     roots = candidates.select(F.col("root").alias("node"), "root").distinct()
     nodes = candidates.unionByName(roots)
     each = members.where("set_key is not null").groupBy("set_key").agg(F.min("node").alias("node"), F.min("n_shingles").alias("n"), F.min(F.struct(*ROW)).alias("at"))
-    # Sizes of one tier differ by a little more than similar sets can, so those of tiers further apart aren't similar.
-    tier = F.floor(F.log(F.col("n").cast("double")) / F.lit(log(101 / percent))).cast("int")
-    wanted = checkpointed(each.join(nodes, "node").select("root", "set_key", "n", tier.alias("tier"), F.col("at.doc_id").alias("doc_id"), F.col("at.row").alias("row")))
-    blocks = lambda count, total: F.ceil(F.greatest(count / block, total / elements)).cast("int")
-    tiers = wanted.groupBy("root", "tier").agg(F.count("*").alias("sets"), F.sum("n").alias("n"))
-    listed = tiers.groupBy("root").agg(blocks(F.sum("sets"), F.sum("n")).alias("all_"), F.map_from_entries(F.collect_list(F.struct("tier", blocks(F.col("sets"), F.col("n"))))).alias("blocks"))
-    listed = listed.select("root", F.when(F.col("all_") > 1, F.col("blocks")).alias("blocks"))
-    wanted = wanted.join(listed, "root")
-    of = lambda t: F.coalesce(F.element_at("blocks", t), F.lit(0))
-    own = F.pmod(F.xxhash64("set_key"), of(F.col("tier"))).cast("int")
-    cell = lambda ta, a, tb, b, side: F.struct(ta.alias("ta"), a.alias("a"), tb.alias("tb"), b.alias("b"), side.cast("int").alias("side"))
-    upto = lambda n, f: F.transform(F.filter(F.sequence(F.lit(-1), n - 1), lambda k: k >= 0), f)
-    t, zero, one = F.col("tier"), F.lit(0), F.lit(1)
-    within = upto(of(t), lambda k: cell(t, F.least(own, k), t, F.greatest(own, k), F.when(own <= k, 0).otherwise(1)))
-    above = upto(of(t + 1), lambda k: cell(t, own, t + 1, k, zero))
-    under = upto(of(t - 1), lambda k: cell(t - 1, k, t, own, one))
-    cells = F.when(F.col("blocks").isNull(), F.array(cell(zero, zero, zero, zero, zero))).otherwise(F.concat(within, above, under))
-    wanted = wanted.select("root", "set_key", "doc_id", "row", cells.alias("cells"))
+    wanted = checkpointed(each.join(nodes, "node").select("root", "set_key", "n", F.col("at.doc_id").alias("doc_id"), F.col("at.row").alias("row")))
+    blocks = lambda sets_, total: F.ceil(F.greatest(sets_ / block, total / elements)).cast("int")
+    whole = wanted.groupBy("root").agg((blocks(F.count("*"), F.sum("n")) <= 1).alias("whole"))
+    # Tier t has sizes from 2**t on; a set is a guest in the tier below its own if a set of that can be similar to it.
+    t = F.length(F.bin("n")) - 1
+    guest = F.col("n") * percent <= 100 * (F.pow(F.lit(2.0), t).cast("long") - 1)
+    tiers = F.when(F.col("whole"), F.array(F.lit(-1))).otherwise(F.when(guest, F.array(t, t - 1)).otherwise(F.array(t)))
+    placed = wanted.join(whole, "root").select("root", "set_key", "n", *ROW, F.explode(tiers).alias("tier"))
+    sized = placed.groupBy("root", "tier").agg(blocks(F.count("*"), F.sum("n")).alias("blocks"))
+    own = F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")
+    # A block meets itself and every other of its tier.
+    pair = lambda k: F.struct("root", "tier", F.least(own, k).alias("a"), F.greatest(own, k).alias("b"), F.when(own <= k, 0).otherwise(1).alias("side"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)
+    wanted = placed.join(sized, ["root", "tier"]).select("set_key", *ROW, cells.alias("cells"))
 
     # Rows alike in doc_id and text give the same set; dropped where they meet.
     near = Marks(wanted, *ROW).there(rows.select(*ROW, "text"))
-    texts = near.join(wanted, ROW).select("text", "root", "set_key", F.explode("cells").alias("c")).select("text", "root", "set_key", "c.*")
-    dealt = texts.repartition("root", "ta", "a", "tb", "b").sortWithinPartitions("root", "ta", "a", "tb", "b", "set_key")
-    dealt = dealt.select("text", "root", "set_key", "ta", "a", "tb", "b", "side")
+    dealt = near.join(wanted, ROW).select("text", "set_key", F.explode("cells").alias("c")).select("text", "set_key", "c.*")
+    dealt = dealt.repartition("root", "tier", "a", "b").sortWithinPartitions("root", "tier", "a", "b", "set_key")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def settle(group: dict[bytes, tuple[np.ndarray, int]]) -> list[tuple]:
@@ -388,11 +388,11 @@ def verified(rows: DataFrame, members: DataFrame, candidates: DataFrame, words:
         last, group = None, {}
         for b in batches:
             edges: list[tuple] = []
-            for text, root, key, ta, x, tb, y, side in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (root, ta, x, tb, y) != last:
+            for text, key, *cell, side in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if cell != last:
                     if len(group) > 1:
                         edges += settle(group)
-                    last, group = (root, ta, x, tb, y), {}
+                    last, group = cell, {}
                 if key not in group:
                     group[key] = shingles(text, words), side
             yield batch(("u", "v"), ([e[0] for e in edges], [e[1] for e in edges]), (pa.binary(), pa.binary()))
