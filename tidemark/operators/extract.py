@@ -6,13 +6,15 @@ labels, fields), and an outcome for lines that give none.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from tidemark.functions.values import DECIMAL, coerced
-from tidemark.operators.render import openings
 from tidemark.plans.spec import EPOCHS, Buckets, Format, Pattern, Profile, Spec, java_layout, regex
 
 VALUE = "struct<i:bigint,f:double,s:string,b:boolean>"
@@ -168,31 +170,94 @@ def extracted(lines: DataFrame, spec: Spec, profile: Profile, year: int = 1970)
     return d.select("stream", "ord", F.col("hit.set").alias("set"), F.floor(F.col("us") / 1000).cast("long").alias("ts_ms"), F.pmod("us", F.lit(1000)).cast("int").alias("sub_us"), own.alias("labels"), F.col("fields_").alias("fields"), "pattern", outcome.alias("outcome"))
 
 
-def aggregated(records: DataFrame, profile: Profile) -> DataFrame:
-    """Samples of the windows of aggregating patterns: anchored at the first record of each key, [start, start + every)."""
-    out = []
+#: A window: what it has counted, and the labels and place of the record that opened it.
+WINDOW = "stream string, set string, pattern int, on_ array<string>, start long, n long, total double, most double, newest double, labels map<string,string>"
+
+
+def folded(records: DataFrame, profile: Profile, opened: DataFrame | None = None, final: bool = True) -> DataFrame:
+    """Windows of aggregating patterns, rows of WINDOW with ``ord`` and ``closed``.
+
+    A window of a key opens at a record and holds every record of the key until one of its stream, of any key or pattern, is
+    not earlier than its end; a late record counts in the window that is open. Streams are gone through in their order, with
+    the open windows as all that is kept. ``opened``: windows that an earlier call left open; ``final``: closes the rest.
+    """
+    rules = {k: (p.aggregate.every_ms, p.aggregate.mode) for k, p in enumerate(profile.patterns) if p.aggregate}
+    text = lambda v: F.coalesce(v["i"].cast("string"), v["f"].cast("string"), v["s"])
+    on, value = F.lit(None).cast("array<string>"), F.lit(None).cast("double")
+    for k in rules:
+        a = profile.patterns[k].aggregate
+        names = F.array(*[F.coalesce(F.element_at("labels", n), text(F.element_at("fields", n))) for n in a.on]).cast("array<string>")
+        cell = F.element_at("fields", a.field)
+        on, value = F.when(F.col("pattern") == k, names).otherwise(on), F.when(F.col("pattern") == k, F.coalesce(cell["i"].cast("double"), cell["f"])).otherwise(value)
+    own = F.when((F.col("outcome") == "aggregate") & ~F.exists(on, lambda x: x.isNull()), on)
+    nothing = {c: F.lit(None).cast("long" if c in ("start", "n") else "double").alias(c) for c in ("start", "n", "total", "most", "newest")}
+    rows = records.where(F.col("outcome").isin("aggregate", "sample")).select("stream", "set", F.col("pattern").cast("int").alias("pattern"), own.alias("on_"), *[nothing[c] for c in ("start", "n")], value.alias("total"), *[nothing[c] for c in ("most", "newest")], "labels", "ord", "ts_ms")
+    if opened is not None:
+        rows = rows.unionByName(opened.drop("closed").withColumn("ts_ms", F.lit(None).cast("long")))
+    columns = [c for c in rows.columns if c != "ts_ms"]
+    schema = StructType([*[rows.schema[c] for c in columns], StructField("closed", BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, windows, out, kinds = None, {}, [], None
+
+        def send() -> pa.RecordBatch:
+            got = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate([*kinds, pa.bool_()])], names=[*columns, "closed"])
+            out.clear()
+            return got
+
+        for b in batches:
+            kinds = [b.schema.field(c).type for c in columns]
+            for *row, ts in zip(*(b.column(c).to_pylist() for c in [*columns, "ts_ms"]), strict=True):
+                if row[0] != stream:
+                    out += [(*w, final) for w in windows.values()]
+                    stream, windows = row[0], {}
+                if ts is None:  # left open before
+                    windows[(row[1], row[2], *row[3])] = row
+                    continue
+                # Every window that has ended goes, in the order of the ends.
+                for key in sorted((k for k, w in windows.items() if ts >= w[4] + rules[w[2]][0]), key=lambda k: (windows[k][4] + rules[windows[k][2]][0], str(k))):
+                    out.append((*windows.pop(key), True))
+                if row[3] is None:
+                    continue
+                key, v = (row[1], row[2], *row[3]), row[6]
+                if key not in windows:
+                    windows[key] = [*row[:4], ts, 0, 0.0, None, None, *row[9:]]
+                w = windows[key]
+                w[5] += 1
+                if v is not None:
+                    w[6], w[7], w[8] = w[6] + v, v if w[7] is None else max(w[7], v), v
+            if len(out) > 10_000:
+                yield send()
+        out += [(*w, final) for w in windows.values()]
+        if out:
+            yield send()
+
+    # Windows that were open come before the records of their stream.
+    dealt = rows.repartition("stream").sortWithinPartitions("stream", F.col("ts_ms").isNotNull(), "ord")
+    return dealt.mapInArrow(run, schema)
+
+
+def window_samples(windows: DataFrame, profile: Profile) -> DataFrame:
+    """(stream, ord, set, ts_ms, sub_us, labels, fields) of windows; one of max or last without a reading gives none."""
+    value, name = F.lit(None).cast("double"), F.lit(None).cast("string")
     for k, p in enumerate(profile.patterns):
-        if not (a := p.aggregate):
-            continue
-        r = records.where((F.col("pattern") == k) & (F.col("outcome") == "aggregate"))
-        text = lambda v: F.coalesce(v["i"].cast("string"), v["f"].cast("string"), v["s"])
-        on = F.array(*[F.coalesce(F.element_at("labels", n), text(F.element_at("fields", n))) for n in a.on]).cast("array<string>")
-        value = F.element_at("fields", a.field)
-        value = F.coalesce(value["i"].cast("double"), value["f"])
-        r = r.select("stream", "set", "ord", "ts_ms", "labels", on.alias("on_"), value.alias("v_")).where(~F.exists("on_", lambda x: x.isNull()))
-        keys = ["stream", "set", "on_"]
-        lists = r.groupBy(*keys).agg(F.array_sort(F.collect_set("ts_ms")).alias("all_"))
-        starts = lists.select(*keys, openings(F.col("all_"), a.every_ms, True).alias("starts_"))
-        # Openings of a key ascend: a row's is the last that isn't later.
-        d = r.join(starts, keys).withColumn("start_", F.element_at(F.filter("starts_", lambda s: s <= F.col("ts_ms")), -1))
-        made = {"increment": F.count("*").cast("double"), "sum": F.coalesce(F.sum("v_"), F.lit(0.0)), "max": F.max("v_"), "last": F.max_by("v_", F.when(F.col("v_").isNotNull(), F.col("ord")))}[a.mode]
-        w = d.groupBy(*keys, "start_").agg(made.alias("v"), F.min_by("labels", F.struct("ts_ms", "ord")).alias("labels"), F.min("ord").alias("ord")).where(F.col("v").isNotNull())
-        whole = (F.col("v") == F.floor("v")) & (F.abs("v") <= 2.0**53)
-        cell = F.struct(F.when(whole, F.col("v").cast("long")).alias("i"), F.when(~whole, F.col("v")).alias("f"), F.lit(None).cast("string").alias("s"), F.lit(None).cast("boolean").alias("b"))
-        out.append(w.select("stream", "ord", "set", F.col("start_").alias("ts_ms"), F.lit(0).alias("sub_us"), "labels", F.create_map(F.lit(a.field), cell).alias("fields")))
-    columns = ["stream", "ord", "set", "ts_ms", "sub_us", "labels", "fields"]
-    plain = records.where(F.col("outcome") == "sample").select(*columns)
-    return reduce(DataFrame.unionByName, out, plain)
+        if p.aggregate:
+            made = F.col({"increment": "n", "sum": "total", "max": "most", "last": "newest"}[p.aggregate.mode]).cast("double")
+            value, name = F.when(F.col("pattern") == k, made).otherwise(value), F.when(F.col("pattern") == k, p.aggregate.field).otherwise(name)
+    w = windows.withColumn("v", value).withColumn("name_", name).where("v is not null")
+    whole = (F.col("v") == F.floor("v")) & (F.abs("v") <= 2.0**53)
+    cell = F.struct(F.when(whole, F.col("v").cast("long")).alias("i"), F.when(~whole, F.col("v")).alias("f"), F.lit(None).cast("string").alias("s"), F.lit(None).cast("boolean").alias("b"))
+    return w.select("stream", "ord", "set", F.col("start").alias("ts_ms"), F.lit(0).alias("sub_us"), "labels", F.create_map("name_", cell).alias("fields"))
+
+
+def plain_samples(records: DataFrame) -> DataFrame:
+    return records.where(F.col("outcome") == "sample").select("stream", "ord", "set", "ts_ms", "sub_us", "labels", "fields")
+
+
+def aggregated(records: DataFrame, profile: Profile) -> DataFrame:
+    """All samples of a batch of records: the plain ones, and those of windows, the last ones closed too."""
+    plain = plain_samples(records)
+    return plain.unionByName(window_samples(folded(records, profile), profile)) if any(p.aggregate for p in profile.patterns) else plain
 
 
 def report(records: DataFrame) -> DataFrame:

@@ -1,26 +1,30 @@
 """The render walk: a series becomes the exact minimum and maximum of each window, with breaks where data is missing.
 
-Everything is expressed per series with window functions and one fold:
+Points are dealt to tasks by series and sorted by series and instant; a task then goes through its batches once, in array
+operations, and keeps only what is open: the last sample, the open window with its extremes and breaks, and the last point
+drawn. Memory is a batch, whatever a series' length.
 
 - samples of the same instant collapse to the first by their tie order;
-- ``lag`` gives the gap, delta and rate of a sample;
-- windows are anchored: one opens at the first accepted sample, the next at the first sample more than the width later.
-  A fold over a series' sorted instants keeps the openings only; they come back to the samples by a join on the instant and
-  a running maximum;
-- a window's minimum and maximum are those of (value, time) structs; the breaks before, between and after them survive.
-
-The shuffles go by series. The fold's state is a series' instants, which the datapoint limit bounds.
+- gap, delta and rate of a sample come from the sample before it;
+- windows are anchored: one opens at the first accepted sample, the next at the first sample more than the width later;
+- a window's minimum and maximum are the earliest of equals; of the breaks before, between and after them the last survives.
+  A break in front of a sample that opens a window belongs to the window before it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 PAD_MS = 500
-OUT = "struct<ts:bigint,value:double,is_null:boolean>"
+NEVER = -(1 << 62)
 
 
 @dataclass(frozen=True)
@@ -49,95 +53,225 @@ def window_width(range_ms: int, max_points: int, interval_ms: int) -> int:
     return 2 * single_window(range_ms, max_points, interval_ms)
 
 
-def openings(instants: Column, width: int, inclusive: bool = False) -> Column:
-    """The instants of a sorted array at which anchored windows open; ``inclusive``: a window ends before start + width."""
-    far = (lambda t, s: t - s >= width) if inclusive else (lambda t, s: t - s > width)
-    zero = F.struct(F.lit(None).cast("long").alias("start"), F.array().cast("array<bigint>").alias("starts"))
-    return F.aggregate(
-        instants,
-        zero,
-        lambda acc, t: F.when(acc["start"].isNull() | far(t, acc["start"]), F.struct(t.alias("start"), F.concat(acc["starts"], F.array(t)).alias("starts"))).otherwise(acc),
-        lambda acc: acc["starts"],
-    )
-
-
-def anchored(rows: DataFrame, keys: list[str], width: int, accepted: Column, inclusive: bool = False) -> DataFrame:
-    """``rows`` (keys, ts, ...; one row an instant) with ``wid``: where the row's window opened; null before the first."""
-    over = Window.partitionBy(*keys).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    if width == 0 and not inclusive:
-        return rows.withColumn("wid", F.when(accepted, F.col("ts")))
-    lists = rows.where(accepted).groupBy(*keys).agg(F.array_sort(F.collect_list("ts")).alias("all_"))
-    marks = lists.select(*[F.col(k).alias(f"k{i}_") for i, k in enumerate(keys)], F.explode(openings(F.col("all_"), width, inclusive)).alias("opens_"))
-    same = [F.col(k).eqNullSafe(F.col(f"k{i}_")) for i, k in enumerate(keys)]
-    on = F.col("ts") == F.col("opens_")
-    for s in same:
-        on = on & s
-    return rows.join(marks, on, "left").withColumn("wid", F.max("opens_").over(over)).drop("opens_", *[f"k{i}_" for i in range(len(keys))])
-
-
-def clamp(value: Column, raw: Column, spec: Spec) -> Column:
+def openings(ts: np.ndarray, width: int, start: int | None = None, inclusive: bool = False) -> np.ndarray:
+    """Which of the sorted instants open an anchored window, the window from ``start`` being open before.
+
+    A window holds what is at most ``width`` after its start; ``inclusive``: what is less.
+    """
+    marks = np.zeros(len(ts), bool)
+    side = "left" if inclusive else "right"
+    k = 0 if start is None else int(ts.searchsorted(start + width, side))
+    if width == 0 and not inclusive and start is None:
+        marks[:] = True
+        return marks
+    while k < len(ts):
+        marks[k] = True
+        k = max(k + 1, int(ts.searchsorted(ts[k] + width, side)))
+    return marks
+
+
+def clamped(value: np.ndarray, raw: np.ndarray, spec: Spec) -> np.ndarray:
     if spec.low is not None:
-        value = F.when(value < spec.low, raw if spec.raw_escape else F.lit(float(spec.low))).otherwise(value)
+        value = np.where(value < spec.low, raw if spec.raw_escape else float(spec.low), value)
     if spec.high is not None:
-        value = F.when(value > spec.high, raw if spec.raw_escape else F.lit(float(spec.high))).otherwise(value)
+        value = np.where(value > spec.high, raw if spec.raw_escape else float(spec.high), value)
     return value
 
 
+class Series:
+    """One series on its way through the walk: add() takes sorted samples, finish() closes; both give drawn points."""
+
+    def __init__(self, spec: Spec, width: int):
+        self.spec, self.width = spec, width
+        self.ts: int | None = None  # the last sample
+        self.raw = 0.0
+        #: The open window: start, lo, its instant, the last break before it, hi, and so on, the last break of all.
+        self.open: tuple | None = None
+        self.first, self.drawn = True, NEVER
+        self.held: tuple | None = None  # the last point drawn, which waits for the next to know its room
+        self.before: tuple[int, bool] | None = None
+
+    def add(self, ts: np.ndarray, raw: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        new = np.concatenate([[self.ts is None or ts[0] != self.ts], ts[1:] != ts[:-1]])
+        ts, raw = ts[new], raw[new]
+        if not len(ts):
+            return []
+        s, known = self.spec, self.ts is not None
+        before_ts = np.concatenate([[self.ts if known else 0], ts[:-1]])
+        before_raw = np.concatenate([[self.raw], raw[:-1]])
+        self.ts, self.raw = int(ts[-1]), float(raw[-1])
+        value = raw - before_raw if s.delta else raw
+        value = clamped(-value if s.negate else value, raw, s)
+        gap = np.where(ts - before_ts > s.gap_ms, ts - 1, NEVER) if s.gap_ms else np.full(len(ts), NEVER)
+        if s.per_second:
+            with np.errstate(all="ignore"):
+                value = value / ((ts - before_ts) / 1000.0)
+        if not known:
+            gap[0] = NEVER
+            if s.delta or s.per_second:
+                ts, value, gap = ts[1:], value[1:], gap[1:]
+        return self._windows(ts, value, gap) if len(ts) else []
+
+    def _windows(self, ts: np.ndarray, value: np.ndarray, gap: np.ndarray) -> list:
+        marks = openings(ts, self.width, self.open[0] if self.open else None)
+        starts = np.flatnonzero(marks)
+        if self.open is not None and (not len(starts) or starts[0]):
+            starts = np.concatenate([[0], starts])  # the first stretch goes on with the open window
+        own = gap.copy()
+        moved = marks.copy()
+        if self.first and moved[0]:
+            moved[0] = False  # there is no window before the first
+        own[moved] = NEVER
+        last = np.maximum.accumulate(own)
+        n, at = len(starts), np.arange(len(ts))
+        which = np.repeat(np.arange(n), np.diff(np.append(starts, len(ts))))
+        ends = np.append(starts[1:], len(ts)) - 1
+        # Breaks of earlier windows lie before the window's first sample; only its own break may do so in the first one.
+        floor = np.where(marks[starts], ts[starts], NEVER + 1)
+        if self.first and marks[0]:
+            floor[0] = NEVER + 1
+        if self.open is not None and not marks[0]:
+            last = np.where(which == 0, np.maximum(last, self.open[7]), last)
+        last = np.where(last > floor[which], last, NEVER)
+        lo, hi = np.minimum.reduceat(value, starts), np.maximum.reduceat(value, starts)
+        first_of = lambda best: np.minimum.reduceat(np.where(value == best[which], at, len(ts)), starts)
+        lo_at, hi_at = np.minimum(first_of(lo), ends), np.minimum(first_of(hi), ends)
+        w = [ts[starts], lo, ts[lo_at], last[lo_at], hi, ts[hi_at], last[hi_at], last[ends]]
+        if self.open is not None:
+            o = self.open
+            if marks[0]:
+                w = [np.concatenate([[x], c]) for x, c in zip(o, w, strict=True)]
+                after = np.concatenate([gap[starts], [NEVER]])
+            else:
+                w[0][0] = o[0]
+                if not lo[0] < o[1]:
+                    w[1][0], w[2][0], w[3][0] = o[1], o[2], o[3]
+                if not hi[0] > o[4]:
+                    w[4][0], w[5][0], w[6][0] = o[4], o[5], o[6]
+                after = np.append(gap[starts[1:]], NEVER)
+        else:
+            after = np.append(gap[starts[1:]], NEVER)
+        self.first = False
+        self.open = tuple(x[-1].item() for x in w)
+        return self._draw([x[:-1] for x in w], after[:-1])
+
+    def _draw(self, w: list[np.ndarray], after: np.ndarray, tail: int | None = None) -> list:
+        """The points of finished windows: break, extreme, break, extreme, break."""
+        _, lo, lo_ts, lo_gap, hi, hi_ts, hi_gap, last = w
+        early = lo_ts < hi_ts
+        a, b = np.minimum(lo_ts, hi_ts), np.maximum(lo_ts, hi_ts)
+        late = np.maximum(np.where(last > b, last, NEVER), after)
+        ga, gb = np.where(early, lo_gap, hi_gap), np.where(early, hi_gap, lo_gap)
+        one = lo_ts == hi_ts
+        columns = [ga, a, np.where((gb > a) & (gb < b), gb, NEVER), np.where(one, NEVER, b), late]
+        ts = np.stack(columns, 1).ravel() if len(a) else np.empty(0, np.int64)
+        nothing = np.full(len(a), np.nan)
+        value = np.stack([nothing, np.where(early, lo, hi), nothing, np.where(early, hi, lo), nothing], 1).ravel() if len(a) else np.empty(0)
+        null = np.tile([True, False, True, False, True], len(a))
+        keep = ts != NEVER
+        ts, value, null = ts[keep], value[keep], null[keep]
+        if tail is not None:
+            ts, value, null = np.append(ts, tail), np.append(value, np.nan), np.append(null, True)
+        return self._pad(ts, value, null)
+
+    def _pad(self, ts: np.ndarray, value: np.ndarray, null: np.ndarray, end: bool = False) -> list:
+        """A point between breaks or edges gets a neighbour on both sides, where there is room."""
+        if self.held is not None:
+            ts, value, null = np.append(self.held[0], ts), np.append(self.held[1], value), np.append(self.held[2], null)
+        if not len(ts):
+            return []
+        if not end:
+            self.held = ts[-1], value[-1], null[-1]
+        n = len(ts) - (not end)
+        if not n:
+            return []
+        prev_ts = np.concatenate([[self.before[0] if self.before else NEVER], ts[: n - 1]])
+        prev_null = np.concatenate([[self.before[1] if self.before else True], null[: n - 1]])
+        far = 1 << 62
+        next_ts = np.append(ts[1:n], ts[n] if not end else far)
+        next_null = np.append(null[1:n], null[n] if not end else True)
+        ts, value, null = ts[:n], value[:n], null[:n]
+        self.before = int(ts[-1]), bool(null[-1])
+        if self.spec.padding != "off":
+            alone = ~null & prev_null & next_null
+            left, right = np.maximum(ts - PAD_MS, prev_ts + 1), np.minimum(ts + PAD_MS, next_ts - 1)
+            shown = value if self.spec.padding == "repeat" else np.full(n, float(self.spec.padding_value))
+            keep = np.stack([alone & (left < ts), np.ones(n, bool), alone & (right > ts)], 1).ravel()
+            null = np.stack([np.zeros(n, bool), null, np.zeros(n, bool)], 1).ravel()[keep]
+            value = np.stack([shown, value, shown], 1).ravel()[keep]
+            ts = np.stack([left, ts, right], 1).ravel()[keep]
+        return [(ts, value, null)]
+
+    def finish(self) -> list:
+        if self.open is None:
+            return []
+        s, o = self.spec, self.open
+        w = [np.array([x]) for x in o]
+        last = max(o[2], o[5], o[7] if o[7] > max(o[2], o[5]) else NEVER)
+        tail = self.ts + s.gap_ms if s.gap_ms and s.end_ms > 0 and s.end_ms - self.ts > s.gap_ms and self.ts + s.gap_ms > last else None
+        out = self._draw(w, np.array([NEVER]), tail)
+        return out + self._pad(np.empty(0, np.int64), np.empty(0), np.empty(0, bool), end=True)
+
+
+def changes(columns: list[pa.Array]) -> np.ndarray:
+    """Where rows differ from the row before in any column; nulls are alike."""
+    n = len(columns[0])
+    out = np.zeros(n, bool)
+    out[:1] = True
+    for c in columns:
+        a, b = c.slice(1), c.slice(0, n - 1)
+        differ = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+        out[1:] |= differ | (pc.is_null(a).to_numpy(zero_copy_only=False) != pc.is_null(b).to_numpy(zero_copy_only=False))
+    return out
+
+
 def walk(points: DataFrame, keys: list[str], spec: Spec, width: int) -> DataFrame:
     """(keys, ts, value, is_null) of points (keys, ts, tie, value); values are finite."""
-    over = Window.partitionBy(*keys).orderBy("ts")
-    d = points.groupBy(*keys, "ts").agg(F.min_by("value", "tie").alias("raw"))
-    d = d.withColumn("before_ts", F.lag("ts").over(over)).withColumn("before_raw", F.lag("raw").over(over)).withColumn("last_ts", F.max("ts").over(Window.partitionBy(*keys)))
-    value = F.col("raw")
-    if spec.delta:
-        value = value - F.col("before_raw")
-    if spec.negate:
-        value = -value
-    value = clamp(value, F.col("raw"), spec)
-    if spec.per_second:
-        value = value / ((F.col("ts") - F.col("before_ts")) / 1000.0)
-    accepted = F.col("before_ts").isNotNull() if spec.delta or spec.per_second else F.lit(True)
-    gap = F.when(F.col("ts") - F.col("before_ts") > spec.gap_ms, F.col("ts") - 1) if spec.gap_ms else F.lit(None).cast("long")
-    d = anchored(d.withColumn("val", value).withColumn("gap", gap), keys, width, accepted).where(accepted)
-    # A break in front of a sample that opens a window belongs to the window before it.
-    d = d.withColumn("moved", (F.col("ts") == F.col("wid")) & F.lag("wid").over(over).isNotNull())
-    d = d.withColumn("after", F.lead(F.when(F.col("moved"), F.col("gap"))).over(over)).withColumn("own", F.when(~F.col("moved"), F.col("gap")))
-    w = d.groupBy(*keys, "wid").agg(
-        F.min(F.struct("val", "ts")).alias("lo"), F.max(F.struct(F.col("val"), (-F.col("ts")).alias("ts"))).alias("hi"),
-        F.collect_list("own").alias("gaps"), F.max("after").alias("after"), F.max("last_ts").alias("last_ts"), F.max("ts").alias("newest"),
-    )
-    lo_ts, hi_ts = F.col("lo.ts"), -F.col("hi.ts")
-    w = w.withColumn("a", F.least(lo_ts, hi_ts)).withColumn("b", F.greatest(lo_ts, hi_ts))
-    point = lambda ts, v: F.struct(ts.alias("ts"), v.cast("double").alias("value"), F.lit(False).alias("is_null"))
-    hole = lambda ts: F.when(ts.isNotNull(), F.struct(ts.alias("ts"), F.lit(None).cast("double").alias("value"), F.lit(True).alias("is_null")))
-    newest = lambda keep: F.array_max(F.filter("gaps", keep))
-    late = F.greatest(newest(lambda n: n > F.col("b")), F.col("after"))
-    out = [
-        hole(newest(lambda n: n < F.col("a"))),
-        point(F.col("a"), F.when(lo_ts < hi_ts, F.col("lo.val")).otherwise(F.col("hi.val"))),
-        hole(newest(lambda n: (n > F.col("a")) & (n < F.col("b")))),
-        F.when(lo_ts != hi_ts, point(F.col("b"), F.when(lo_ts > hi_ts, F.col("lo.val")).otherwise(F.col("hi.val")))),
-        hole(late),
-    ]
-    if spec.gap_ms and spec.end_ms > 0:
-        end = F.col("last_ts") + spec.gap_ms
-        out.append(hole(F.when((F.col("newest") == F.col("last_ts")) & (spec.end_ms - F.col("last_ts") > spec.gap_ms) & (end > F.greatest(F.col("b"), late)), end)))
-    drawn = w.select(*keys, F.explode(F.filter(F.array(*out), lambda x: x.isNotNull())).alias("p")).select(*keys, "p.*")
-    drawn = pad(drawn, keys, spec)
-    bad = F.isnan("value") | (F.abs("value") == float("inf"))
-    return drawn.select(*keys, "ts", F.when(~bad, F.col("value")).alias("value"), F.coalesce(F.col("is_null") | bad, F.col("is_null")).alias("is_null"))
-
-
-def pad(drawn: DataFrame, keys: list[str], spec: Spec) -> DataFrame:
-    """A point between breaks or edges gets a neighbour on both sides, where there is room."""
-    if spec.padding == "off":
-        return drawn
-    over = Window.partitionBy(*keys).orderBy("ts")
-    near = [f(c).over(over) for f in (F.lag, F.lead) for c in ("ts", "is_null")]
-    d = drawn.select("*", *[c.alias(n) for c, n in zip(near, ("p_ts", "p_null", "n_ts", "n_null"), strict=True)])
-    alone = ~F.col("is_null") & F.coalesce("p_null", F.lit(True)) & F.coalesce("n_null", F.lit(True))
-    value = F.col("value") if spec.padding == "repeat" else F.lit(float(spec.padding_value))
-    left, right = F.greatest(F.col("ts") - PAD_MS, F.col("p_ts") + 1), F.least(F.col("ts") + PAD_MS, F.col("n_ts") - 1)
-    side = lambda ts, room: F.when(alone & room, F.struct(ts.alias("ts"), value.alias("value"), F.lit(False).alias("is_null")))
-    every = F.array(side(left, left < F.col("ts")), F.struct("ts", "value", "is_null"), side(right, right > F.col("ts")))
-    return d.select(*keys, F.explode(F.filter(every, lambda x: x.isNotNull())).alias("p")).select(*keys, "p.*")
+    n = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: tuple | None = None
+        series: Series | None = None
+        names: list[tuple] = []
+        made: list[tuple] = []
+        types: list[pa.DataType] = []
+
+        def take(found: list) -> None:
+            for x in found:
+                names.append(key)
+                made.append(x)
+
+        def send() -> pa.RecordBatch:
+            sizes = [len(x[0]) for x in made]
+            at = pa.array(np.repeat(np.arange(len(made)), sizes))
+            ts, value, null = (np.concatenate([x[k] for x in made]) for k in range(3))
+            bad = null | ~np.isfinite(value)
+            out = [pa.array([k[j] for k in names], types[j]).take(at) for j in range(n)]
+            names.clear()
+            made.clear()
+            return pa.RecordBatch.from_arrays([*out, pa.array(ts, pa.int64()), pa.array(value, pa.float64(), mask=bad), pa.array(bad)], names=[*keys, "ts", "value", "is_null"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            types = [c.type for c in b.columns[:n]]
+            ts, value = b.column(n).to_numpy(), b.column(n + 1).to_numpy()
+            starts = np.flatnonzero(changes(b.columns[:n]))
+            for i, j in zip(starts, np.append(starts[1:], len(ts)), strict=True):
+                own = tuple(c[int(i)].as_py() for c in b.columns[:n])
+                if series is None or own != key:
+                    if series is not None:
+                        take(series.finish())
+                    key, series = own, Series(spec, width)
+                take(series.add(ts[i:j], value[i:j]))
+            if made:
+                yield send()
+        if series is not None:
+            take(series.finish())
+            if made:
+                yield send()
+
+    columns = [F.col(f"`{k}`") for k in keys]
+    dealt = points.select(*columns, "ts", "value", "tie").repartition(*columns).sortWithinPartitions(*columns, "ts", "tie").select(*columns, "ts", F.col("value").cast("double").alias("value"))
+    schema = StructType([*[points.schema[k] for k in keys], StructField("ts", LongType()), StructField("value", DoubleType()), StructField("is_null", BooleanType())])
+    return dealt.mapInArrow(run, schema)
