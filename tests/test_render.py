@@ -106,3 +106,29 @@ def test_fixtures(spark):
 
 def test_window_width():
     assert [window_width(*x) for x in ((3_600_000, 1200, 60_000), (3_600_000, 1200, 1000), (100, 1200, 0))] == [6000, 2000, 0]
+
+
+def test_a_series_in_pieces_is_the_same():
+    """Batches end anywhere in a series; the walk must not show it."""
+    import numpy as np
+
+    from tidemark.operators.render import Series
+
+    rng = np.random.default_rng(6)
+    for t in range(300):
+        n = int(rng.integers(1, 60))
+        ts, value = np.sort(rng.integers(1, 4000, n)) * 50, rng.integers(-5, 6, n).astype(float)
+        spec = Spec(delta=t % 2 == 1, per_second=t % 3 == 1, negate=t % 5 == 1, gap_ms=int(rng.choice([0, 300, 5000])), low=[None, -2.0][t % 2], raw_escape=t % 4 == 1, padding=["const", "repeat", "off"][t % 3], padding_value=1.5, end_ms=int(rng.choice([0, 300_000])))
+        width = int(rng.choice([0, 1, 700, 20_000, 10**9]))
+
+        def drawn(cuts, spec=spec, width=width, ts=ts, value=value):
+            s, out = Series(spec, width), []
+            for a, b in zip([0, *cuts], [*cuts, len(ts)], strict=True):
+                if b > a:
+                    out += s.add(ts[a:b], value[a:b])
+            out += s.finish()
+            return [(int(x), None if z else float(y), bool(z)) for p in out for x, y, z in zip(*p, strict=True)]
+
+        whole = drawn([])
+        assert drawn(sorted(rng.integers(0, n + 1, 4).tolist())) == whole == drawn(list(range(1, n)))
+        assert [x for x, _, _ in whole] == sorted({x for x, _, _ in whole})

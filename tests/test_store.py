@@ -68,7 +68,7 @@ def test_retention(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}")
     put(spark, store, "http", [(T0, {"host": "a"}, {"v": i(1)}), (T0 - 10 * 86_400_000, {"host": "a"}, {"v": i(1)})])
     store.catalogue.known["http"].retention_ms = 48 * 3_600_000
-    assert len(store.days("http")) == 2 and store.sweep(T0) == {"http": 1} and len(store.days("http")) == 1
+    assert len(store.shards("http")) == 2 and store.sweep(T0) == {"http": 1} and len(store.shards("http")) == 1
     store.compact("http")
     assert store.table("http").count() == 1
     store.drop("http")

@@ -5,8 +5,8 @@ from tests.test_extract import SPEC
 from tidemark.plans.spec import parse_spec
 from tidemark.sources.files import lines
 from tidemark.sources.store import Store
-from tidemark.streaming.ingest import counted, follow
-from tidemark.streaming.tail import Tail, advance
+from tidemark.streaming.ingest import counted, finish, follow
+from tidemark.streaming.tail import Tail, _Reader, advance
 
 
 def test_follow_a_file_into_a_store(spark, tmp_path):
@@ -21,13 +21,16 @@ def test_follow_a_file_into_a_store(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
 
-    log.write_text("2026-08-28 10:41:02.113 stats: pool=a reqs=1 inflight=7\n2026-08-28 10:41:03.113 stats: pool=a reqs=2 infl")
+    log.write_text("03.05.2031 06:00:00 arm 1 lifts=1 load=7kg\n03.05.2031 06:00:01 halt: rope\n03.05.2031 06:00:02 arm 1 lifts=2 lo")
     go()
-    assert store.table("app").count() == 1
+    assert store.table("lifting").count() == 1
     with open(log, "a") as f:
-        f.write("ight=8\n")
+        f.write("ad=8kg\n03.05.2031 06:00:40 halt: rope\n")
     go()
-    assert store.table("app").count() == 2 and store.catalogue.field("app", "requests_total").kind == "counter"
+    assert store.table("lifting").count() == 2 and store.catalogue.field("lifting", "lifts").kind == "counter"
+    # One window over both batches, open until the end.
+    assert finish(store, spec, spec.profiles[0], f"file://{tmp_path}/ck") == {"halted": 1}
+    assert [r.stops for r in store.table("halted").collect()] == [2.0] and finish(store, spec, spec.profiles[0], f"file://{tmp_path}/ck") == {}
 
 
 def test_tail_tells_rotation(tmp_path):
@@ -37,7 +40,17 @@ def test_tail_tells_rotation(tmp_path):
     assert [x for _, x in got] == ["one", "two"]
     assert advance(str(p), state, 1 << 20)[0] == []
     p.write_text("new one\nnew two\n")
-    assert [x for _, x in advance(str(p), state, 1 << 20)[0]] == ["new one", "new two"]
+    got, after = advance(str(p), state, 1 << 20)
+    assert [x for _, x in got] == ["new one", "new two"]
+    # A replay of that step gives the same, though the new file is longer than what was read of the old one.
+    assert [r[2] for r in _Reader({"path": str(p)}).readBetweenOffsets({str(p): state}, {str(p): after})] == ["new one", "new two"]
+
+
+def test_only_a_line_feed_ends_a_line(tmp_path, spark):
+    p = tmp_path / "x.log"
+    p.write_bytes(b"one\rtwo\nthree\r\n")
+    assert [x for _, x in advance(str(p), None, 1 << 20)[0]] == ["one\rtwo", "three"]
+    assert [r.line for r in lines(spark, f"file://{p}")[0].orderBy("ord").collect()] == ["one\rtwo", "three"]
 
 
 def test_windows_across_batches(spark, tmp_path):

@@ -20,6 +20,8 @@ from tidemark.plans.spec import EPOCHS, Buckets, Format, Pattern, Profile, Spec,
 VALUE = "struct<i:bigint,f:double,s:string,b:boolean>"
 HALF_YEAR_US = 183 * 86_400_000_000
 FAR_US = 253402300799999 * 1000
+#: A year that has every day, in which dates without a year are read first.
+LEAP = 2000
 
 
 def capped(line: Column, most: int) -> Column:
@@ -28,15 +30,15 @@ def capped(line: Column, most: int) -> Column:
     return F.when(F.octet_length(line) > most, cut).otherwise(line)
 
 
-def _micros(text: Column, f: Format, zone: str, year: str) -> Column:
-    """Epoch microseconds of a matched text; null where it doesn't parse."""
+def _micros(text: Column, f: Format, zone: str) -> Column:
+    """Epoch microseconds of a matched text, in the year LEAP where it has none; null where it doesn't parse."""
     if f.layout in EPOCHS:
         n = F.when(text.rlike(r"^-?\d{1,18}$"), text.cast("long"))
         us = F.floor(n / 1000).cast("long") if f.layout == "epoch_ns" else n.try_cast("decimal(38,0)") * EPOCHS[f.layout]
         return F.when((us > 0) & (us <= FAR_US), us.cast("long"))
     pattern = java_layout(f.layout)
     if not f.has_year:
-        text, pattern = F.concat(F.lit(f"{year} "), text), f"yyyy {pattern}"
+        text, pattern = F.concat(F.lit(f"{LEAP} "), text), f"yyyy {pattern}"
     # Blanks that pad a day of one digit are dropped on both sides.
     text = F.regexp_replace(text, r"\s+", " ")
     when = F.try_to_timestamp(text, F.lit(" ".join(pattern.split())))
@@ -56,7 +58,7 @@ def stamped(lines: DataFrame, spec: Spec, profile: Profile, year: int) -> DataFr
         pattern = regex("timestamp", f.regex)[0]
         pattern = f"^(?:{pattern})" if t.anchor == "prefix" else pattern
         found = F.regexp_extract(F.col("line"), pattern, 0)
-        got = F.when(found != "", _micros(found, f, spec.timezone, str(year)))
+        got = F.when(found != "", _micros(found, f, spec.timezone))
         at = F.position(found, F.col("line"))
         rest = F.concat(F.substr(F.col("line"), F.lit(1), at - 1), F.substr(F.col("line"), at + F.length(found))) if t.strip else F.col("line")
         us, text, free = F.when(got.isNotNull(), got).otherwise(us), F.when(got.isNotNull(), rest).otherwise(text), F.when(got.isNotNull(), F.lit(not f.has_year)).otherwise(free)
@@ -68,7 +70,7 @@ def stamped(lines: DataFrame, spec: Spec, profile: Profile, year: int) -> DataFr
     before = F.last(F.when(F.col("free_"), F.col("us_")), ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))
     step = F.when(F.col("us_") - before < -HALF_YEAR_US, 1).when(F.col("us_") - before > HALF_YEAR_US, -1).otherwise(0)
     d = d.withColumn("step_", F.when(F.col("free_"), step).otherwise(0)).withColumn("years_", F.sum("step_").over(over))
-    moved = F.unix_micros(F.timestamp_micros("us_") + F.make_interval(F.col("years_")))
+    moved = F.unix_micros(F.timestamp_micros("us_") + F.make_interval(F.col("years_") + F.lit(year - LEAP)))
     return d.withColumn("us", F.when(F.col("free_"), moved).otherwise(F.col("us_"))).drop("us_", "free_", "step_", "years_")
 
 
@@ -114,9 +116,10 @@ def histogram(payload: Column, b: Buckets) -> Column:
     else:
         pattern = r"\(\s*([^():\s]+)\s*:\s*([^()\s]+)\s*\)" if b.parse == "paren_pairs" else r"([^\s:=]+)[:=](\S+)"
         keys, values = (F.regexp_extract_all(payload, F.lit(pattern), k) for k in (1, 2))
-        # The last of repeated keys counts, as in a map.
-        got = F.map_from_entries(F.filter(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda x: x["k"].isNotNull()))
-        got = F.map_from_arrays(F.array_distinct(keys), F.transform(F.array_distinct(keys), lambda k: F.element_at(F.filter(F.transform(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda x: F.when(x["k"] == k, x["v"])), lambda v: v.isNotNull()), -1)))
+        # The last of a bucket's pairs counts, as in a map.
+        pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
+        last = F.transform(declared, lambda b: F.struct(b.alias("key"), F.try_element_at(F.filter(pairs, lambda x: x["k"] == b), F.lit(-1))["v"].alias("value")))
+        got = F.map_from_entries(F.filter(last, lambda x: x["value"].isNotNull()))
     return F.map_filter(got, lambda k, v: F.array_contains(declared, k) & v.rlike(DECIMAL))
 
 
@@ -140,12 +143,13 @@ def _bucket_fields(fields: Column, found: Column, b: Buckets) -> Column:
     return F.map_concat(*out)
 
 
-def extracted(lines: DataFrame, spec: Spec, profile: Profile, year: int = 1970) -> DataFrame:
+def extracted(lines: DataFrame, spec: Spec, profile: Profile, year: int = 1970, span: tuple[int, int] | None = None) -> DataFrame:
     """(stream, ord, set, ts_ms, sub_us, labels, fields, pattern, outcome) of every record.
 
-    outcome: sample, aggregate (to be windowed), no timestamp, unmatched, no fields. ``lines`` may have ``labels``.
+    outcome: sample, aggregate (to be windowed), no timestamp, outside (of ``span``, milliseconds with both ends), unmatched,
+    no fields. ``lines`` may have ``labels``.
     """
-    d = lines.withColumn("line", capped(F.regexp_replace("line", "\r$", ""), profile.framing.max_record_bytes))
+    d = lines.withColumn("line", capped(F.regexp_replace("line", r"\r\z", ""), profile.framing.max_record_bytes))
     d = joined(stamped(d, spec, profile, year), profile)
     pattern = F.coalesce(*[F.when(F.col("text").contains(p.search) if p.search else F.lit(True), k) for k, p in enumerate(profile.patterns)], F.lit(None).cast("int"))
     d = d.withColumn("pattern", pattern)
@@ -163,23 +167,30 @@ def extracted(lines: DataFrame, spec: Spec, profile: Profile, year: int = 1970)
     d = d.withColumn("plain_", plain)
     payload = F.coalesce(F.element_at("all_", "buckets"), F.element_at("all_", "histogram"), F.lit(""))
     none = F.create_map().cast(f"map<string,{VALUE}>")
-    extra = by(lambda p: _bucket_fields(F.col("plain_"), histogram(payload, profile.by_name[p.bucket_set]), profile.by_name[p.bucket_set]) if p.bucket_set else none, none)
+    if profile.bucket_sets:
+        # A column of its own: everything that is made of it would else parse the payload again.
+        empty = F.create_map().cast("map<string,string>")
+        d = d.withColumn("found_", by(lambda p: histogram(payload, profile.by_name[p.bucket_set]) if p.bucket_set else empty, empty))
+    extra = by(lambda p: _bucket_fields(F.col("plain_"), F.col("found_"), profile.by_name[p.bucket_set]) if p.bucket_set else none, none)
     d = d.withColumn("fields_", F.map_concat("plain_", extra))
     windowed = F.coalesce(F.col("pattern").isin([k for k, p in enumerate(profile.patterns) if p.aggregate]) if any(p.aggregate for p in profile.patterns) else F.lit(False), F.lit(False))
-    outcome = F.when(F.col("us").isNull(), "no timestamp").when(F.col("hit").isNull(), "unmatched").when(windowed, "aggregate").when(F.size("fields_") == 0, "no fields").otherwise("sample")
+    outside = ~F.floor(F.col("us") / 1000).between(*span) if span else F.lit(False)
+    outcome = F.when(F.col("us").isNull(), "no timestamp").when(outside, "outside").when(F.col("hit").isNull(), "unmatched").when(windowed, "aggregate").when(F.size("fields_") == 0, "no fields").otherwise("sample")
     return d.select("stream", "ord", F.col("hit.set").alias("set"), F.floor(F.col("us") / 1000).cast("long").alias("ts_ms"), F.pmod("us", F.lit(1000)).cast("int").alias("sub_us"), own.alias("labels"), F.col("fields_").alias("fields"), "pattern", outcome.alias("outcome"))
 
 
+OPEN = 100_000
 #: A window: what it has counted, and the labels and place of the record that opened it.
 WINDOW = "stream string, set string, pattern int, on_ array<string>, start long, n long, total double, most double, newest double, labels map<string,string>"
 
 
-def folded(records: DataFrame, profile: Profile, opened: DataFrame | None = None, final: bool = True) -> DataFrame:
+def folded(records: DataFrame, profile: Profile, opened: DataFrame | None = None, final: bool = True, most: int = OPEN) -> DataFrame:
     """Windows of aggregating patterns, rows of WINDOW with ``ord`` and ``closed``.
 
     A window of a key opens at a record and holds every record of the key until one of its stream, of any key or pattern, is
     not earlier than its end; a late record counts in the window that is open. Streams are gone through in their order, with
-    the open windows as all that is kept. ``opened``: windows that an earlier call left open; ``final``: closes the rest.
+    the open windows as all that is kept: at most ``most`` a stream, beyond which the first to end goes early. ``opened``:
+    windows that an earlier call left open; ``final``: closes the rest.
     """
     rules = {k: (p.aggregate.every_ms, p.aggregate.mode) for k, p in enumerate(profile.patterns) if p.aggregate}
     text = lambda v: F.coalesce(v["i"].cast("string"), v["f"].cast("string"), v["s"])
@@ -222,6 +233,8 @@ def folded(records: DataFrame, profile: Profile, opened: DataFrame | None = None
                 key, v = (row[1], row[2], *row[3]), row[6]
                 if key not in windows:
                     windows[key] = [*row[:4], ts, 0, 0.0, None, None, *row[9:]]
+                    if len(windows) > most:
+                        out.append((*windows.pop(min((k for k in windows if k != key), key=lambda k: (windows[k][4] + rules[windows[k][2]][0], str(k)))), True))
                 w = windows[key]
                 w[5] += 1
                 if v is not None:

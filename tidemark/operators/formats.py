@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 TABLE_ROWS = 1000
 
 
-def heatmap(rows: DataFrame, by: list[str], buckets: list[tuple[int, str, Column]], width: int) -> DataFrame:
-    """(by, bucket_index, ts, value): sums of bucket columns by clock-aligned windows; partial sums come before the shuffle."""
-    width = max(1, width)
+def bucket_cells(rows: DataFrame, by: list[str], buckets: list[tuple[int, str, Column]]) -> DataFrame:
+    """(by, ts_ms, pk, bucket_index, value): a row a bucket that a sample has."""
     cells = F.array(*[F.struct(F.lit(i).alias("bucket_index"), c.alias("value")) for i, _, c in buckets])
-    long = rows.select(*by, (F.col("ts_ms") - F.pmod(F.col("ts_ms"), F.lit(width))).alias("ts"), F.explode(cells).alias("x")).where(F.col("x.value").isNotNull())
-    return long.groupBy(*by, F.col("x.bucket_index").alias("bucket_index"), "ts").agg(F.sum("x.value").alias("value"))
+    return rows.select(*by, "ts_ms", "pk", F.explode(cells).alias("x")).select(*by, "ts_ms", "pk", "x.*").where(F.col("value").isNotNull())
+
+
+def heatmap(cells: DataFrame, by: list[str], width: int) -> DataFrame:
+    """(by, bucket_index, ts, value): sums of buckets by clock-aligned windows; partial sums come before the shuffle."""
+    ts = F.col("ts_ms") - F.pmod(F.col("ts_ms"), F.lit(max(1, width)))
+    return cells.groupBy(*by, "bucket_index", ts.alias("ts")).agg(F.sum("value").alias("value"))
 
 
 def tabular(rows: DataFrame, by: list[str], fields: list[tuple[str, Column]], limit: int, newest: bool) -> DataFrame:

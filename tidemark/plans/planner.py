@@ -14,7 +14,7 @@ from tidemark.functions.values import as_double, shortest
 from tidemark.lang.check import check
 from tidemark.lang.parse import parse
 from tidemark.lang.tree import Both, Compare, Exists, Not, Note, Pick, Problem, Query, nodes
-from tidemark.operators.formats import TABLE_ROWS, heatmap, tabular
+from tidemark.operators.formats import TABLE_ROWS, bucket_cells, heatmap, tabular
 from tidemark.operators.render import Spec, single_window, walk, window_width
 from tidemark.plans.catalogue import Catalogue
 
@@ -124,10 +124,10 @@ class Planner:
         return F.coalesce(c.rlike(java), F.lit(False)) if wanted else c.isNotNull() & ~c.rlike(java)
 
     def scan(self, source: str, where: Column | None, request: Request) -> DataFrame:
-        """Rows in range. Where the table has a ``day`` column, its partitions are pruned as well."""
+        """Rows in range. Where the table has a ``shard`` column, its partitions are pruned as well."""
         rows = self.table(source)
-        if "day" in rows.columns:
-            rows = rows.where(F.col("day").between(request.from_ms // 86_400_000, request.to_ms // 86_400_000))
+        if "shard" in rows.columns:
+            rows = rows.where(F.col("shard").between(request.from_ms - self.catalogue.known[source].shard_ms + 1, request.to_ms))
         rows = rows.where(F.col("ts_ms").between(request.from_ms, request.to_ms))
         return rows if where is None else rows.where(where)
 
@@ -158,13 +158,14 @@ class Planner:
         specs: dict[Spec, list[Pick]] = {}
         for p in q.select:
             specs.setdefault(self.spec(q.source, p, request), []).append(p)
-        drawn, points = [], []
-        for spec, picks in specs.items():
+        points = []
+        for picks in specs.values():
             cells = F.explode(F.array(*[F.struct(F.lit(p.name).alias("field"), self.number(q.source, rows, p.field).alias("value")) for p in picks]))
-            long = rows.select(*by, F.col("ts_ms").alias("ts"), F.col("pk").alias("tie"), cells.alias("x")).select(*by, "x.field", "ts", "tie", "x.value").where(F.col("value").isNotNull())
-            points.append(long)
-            drawn.append(walk(long, keys, spec, max(0, width)))
-        out = reduce(DataFrame.unionByName, drawn)
+            long = rows.select(*by, F.col("ts_ms").alias("ts"), F.col("pk").alias("tie"), cells.alias("x")).select(*by, "x.field", "ts", "tie", "x.value")
+            points.append(long.where(F.col("value").isNotNull()))
+        points = self.first_points(points, q, request)
+        kept = self.gate(points, keys, q, request)
+        out = reduce(DataFrame.unionByName, [walk(long, keys, spec, max(0, width)) for spec, long in zip(specs, kept, strict=True)])
         names = F.concat_ws(" : ", *legend(by), "field")
 
         def late() -> list[Note]:
@@ -178,16 +179,30 @@ class Planner:
                 found.append(Note("W401", "the result is partial: too many series or datapoints"))
             return found
 
-        out = self.gate(out, keys, points, q, request)
         return Result(out.select(*by, "field", names.alias("series"), "ts", "value", "is_null"), late_notes=late)
 
-    def gate(self, out: DataFrame, keys: list[str], points: list[DataFrame], q: Query, request: Request) -> DataFrame:
-        """The first series by the instant and key of their first point, as many as the limit lets through."""
-        if q.series is None:
-            return out
-        firsts = reduce(DataFrame.unionByName, points).groupBy(*keys).agg(F.min(F.struct("ts", "tie")).alias("first_"))
-        some = firsts.orderBy("first_", *keys).limit(min(q.series, request.max_series)).select(*[F.col(k).alias(f"s_{k}") for k in keys])
-        return out.join(F.broadcast(some), reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"s_{k}")) for k in keys]), "left_semi")
+    def first_points(self, points: list[DataFrame], q: Query, request: Request) -> list[DataFrame]:
+        """The first samples by instant and key, as many as LIMIT POINTS or the request lets through.
+
+        The default ceiling is reported by late_notes() alone: to enforce it, every query would have to sort all samples.
+        """
+        most = min(q.points or MAX_POINTS, request.max_datapoints)
+        if most >= MAX_POINTS:
+            return points
+        every = reduce(DataFrame.unionByName, [p.withColumn("part_", F.lit(k)) for k, p in enumerate(points)])
+        some = every.orderBy("ts", "tie", "field").limit(most)
+        return [some.where(F.col("part_") == k).drop("part_") for k in range(len(points))]
+
+    def gate(self, points: list[DataFrame], keys: list[str], q: Query, request: Request, at: str = "ts", tie: str = "tie") -> list[DataFrame]:
+        """Points of the first series by the instant and key of their first one, as many as the limits let through."""
+        most = min(q.series or MAX_SERIES, request.max_series)
+        labels = [k for k in keys if k in q.by]
+        if not labels and len(q.select) <= most and "bucket_index" not in keys:
+            return points  # no more series than fields
+        firsts = reduce(DataFrame.unionByName, [p.select(*keys, at, tie) for p in points]).groupBy(*keys).agg(F.min(F.struct(at, tie)).alias("first_"))
+        some = F.broadcast(firsts.orderBy("first_", *keys).limit(most).select(*[F.col(k).alias(f"s_{k}") for k in keys]))  # most rows at most
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"s_{k}")) for k in keys])
+        return [p.join(some, same, "left_semi") for p in points]
 
     def heatmap(self, q: Query, rows: DataFrame, request: Request) -> Result:
         """(by, bucket_index, edge, series, ts, value), a row a cell."""
@@ -195,7 +210,8 @@ class Planner:
         b = self.catalogue.bucket_set(q.source, q.select[0].histogram)
         present = [(i, c, self.number(q.source, rows, c)) for i, c in enumerate(b.buckets) if c and c in rows.columns]
         by = list(q.by)
-        cells = heatmap(rows, by, present, width)
+        long = self.gate([bucket_cells(rows, by, present)], [*by, "bucket_index"], q, request, "ts_ms", "pk")[0]
+        cells = heatmap(long, by, width)
         edges = F.array(*map(F.lit, b.edges))
         shown = F.array(*[F.lit(shortest(e)) for e in b.edges])
         at = F.col("bucket_index") + 1

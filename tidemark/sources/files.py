@@ -35,7 +35,8 @@ def lines(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:
     if not kept:
         empty = spark.createDataFrame([], "stream string, ord struct<block:bigint,n:bigint>, line string")
         return empty, spark.createDataFrame(skipped, "path string, reason string")
-    text = spark.read.text(kept).select(F.col("_metadata.file_path").alias("stream"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("ord"), F.col("value").alias("line"))
+    # Only a line feed ends a line, with one carriage return before it or none.
+    text = spark.read.option("lineSep", "\n").text(kept).select(F.col("_metadata.file_path").alias("stream"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("ord"), F.regexp_replace("value", r"\r\z", "").alias("line"))
     # Heads are enough to tell a binary file: the first block's first lines.
     binary = text.where((F.col("ord.block") == 0) & F.contains(F.substring("line", 1, HEAD), F.lit("\0"))).select(F.col("stream").alias("path")).distinct()
     left_out = spark.createDataFrame(skipped, "path string, reason string").unionByName(binary.select("path", F.lit("binary").alias("reason")))

@@ -1,7 +1,7 @@
-"""Sets of samples as parquet, one folder a set and day, and their catalogue.
+"""Sets of samples as parquet, one folder a set and shard of time (a day, unless set otherwise), and their catalogue.
 
 A write checks every sample, names why it refuses one, and commits the rest: samples with a key that is there already are
-replaced, days are rewritten as a whole. Labels and fields are columns of their own, so that filters reach the files. A
+replaced, the shards they fall in are rewritten. Labels and fields are columns of their own, so that filters reach the files. A
 numeric field is a double; texts of a field that also holds numbers go to a column beside it.
 """
 
@@ -60,30 +60,51 @@ class Store:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def _load(self) -> Catalogue:
-        fs, p = self._fs(f"{self.root}/catalogue.json")
-        if not fs.exists(p):
+        if not (numbers := self._catalogues()):
             return Catalogue()
-        return Catalogue.loads("\n".join(r.value for r in self.spark.read.text(f"{self.root}/catalogue.json", wholetext=True).collect()))
+        return Catalogue.loads("\n".join(r.value for r in self.spark.read.text(f"{self.root}/catalogue/{numbers[-1]:08d}.json", wholetext=True).collect()))
+
+    def _catalogues(self) -> list[int]:
+        fs, p = self._fs(f"{self.root}/catalogue")
+        return sorted(int(s.getPath().getName()[:8]) for s in fs.listStatus(p) if s.getPath().getName().endswith(".json")) if fs.exists(p) else []
 
     def save(self) -> None:
-        """The catalogue, by writing beside and renaming."""
-        fs, p = self._fs(f"{self.root}/catalogue.json")
-        _, beside = self._fs(f"{self.root}/catalogue.json.new")
+        """The catalogue as the next numbered file, which appears by a rename; only then the older ones go."""
+        numbers = self._catalogues()
+        n = numbers[-1] + 1 if numbers else 0
+        fs, p = self._fs(f"{self.root}/catalogue/{n:08d}.json")
+        _, beside = self._fs(f"{self.root}/catalogue/{n:08d}.new")
         out = fs.create(beside, True)
         out.write(bytearray(self.catalogue.dumps().encode()))
         out.close()
-        fs.delete(p, False)
-        fs.rename(beside, p)
+        if not fs.rename(beside, p):
+            raise OSError(f"the catalogue {n} can't be put in place")
+        for old in numbers:
+            fs.delete(self._fs(f"{self.root}/catalogue/{old:08d}.json")[1], False)
 
     def path(self, source: str) -> str:
         return f"{self.root}/sets/{source}"
 
-    def days(self, source: str) -> list[int]:
+    def width(self, source: str) -> int:
+        """Milliseconds of a shard of a set: hours that divide a day, or days."""
+        info = self.catalogue.known.get(source)
+        return info.shard_ms if info else DAY_MS
+
+    def set_width(self, source: str, shard_ms: int) -> None:
+        """The width of a new set's shards; that of a set with rows stays."""
+        if shard_ms % DAY_MS and shard_ms not in [h * DAY_MS // 24 for h in (1, 2, 3, 4, 6, 8, 12)]:
+            raise ValueError("a shard has 1, 2, 3, 4, 6, 8 or 12 hours, or days")
+        if self.shards(source) and self.width(source) != shard_ms:
+            raise ValueError(f"{source!r} has shards of another width")
+        self.catalogue.known.setdefault(source, SetInfo()).shard_ms = shard_ms
+        self.save()
+
+    def shards(self, source: str) -> list[int]:
         fs, p = self._fs(self.path(source))
         if not fs.exists(p):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(p)]
-        return sorted(int(n[4:]) for n in names if n.startswith("day="))
+        return sorted(int(n[6:]) for n in names if n.startswith("shard="))
 
     def write(self, source: str, samples: DataFrame) -> Written:
         """``samples``: ts_ms, sub_us, labels, fields, and maybe key_hint."""
@@ -105,8 +126,14 @@ class Store:
             if r.role == "field":
                 types[r.name] = max(r.type, types.get(r.name, r.type), key=order.index)
         info = self.catalogue.known.get(source, SetInfo())
-        if len({*info.labels, *labels}) > MAX_LABELS or len({*info.types, *types}) > MAX_FIELDS:
-            raise ValueError("the set would have too many labels or fields")
+        # Only samples with a new name for which there is no room are refused.
+        beyond = lambda new, known, most: set([n for n in sorted(new) if n not in known][max(0, most - len(known)) :])
+        too_many = beyond(labels, info.labels, MAX_LABELS) | beyond(types, info.types, MAX_FIELDS)
+        if too_many:
+            named = F.array(*map(F.lit, sorted(too_many))).cast("array<string>")
+            d = d.withColumn("reason", F.coalesce("reason", F.when(F.arrays_overlap(F.map_keys("labels"), named) | F.arrays_overlap(F.map_keys("fields"), named), "too many labels or fields")))
+            good = d.where("reason is null")
+            labels, types = [x for x in labels if x not in too_many], {k: v for k, v in types.items() if k not in too_many}
         # What the set knows a name as stays; of new names that come as both, the field does.
         not_labels = {n for n in labels if n in info.types or (n in types and n not in info.labels)}
         not_fields = {n for n in types if n in info.labels}
@@ -123,19 +150,19 @@ class Store:
             columns.append(number(cell).alias(n))
             if t == "string":
                 columns.append(cell["s"].alias(n + TEXT))
-        wide = good.select("ts_ms", "sub_us", key.alias("pk"), *columns, F.floor(F.col("ts_ms") / DAY_MS).cast("int").alias("day")).dropDuplicates(["day", "pk"])
+        wide = good.select("ts_ms", "sub_us", key.alias("pk"), *columns, (F.floor(F.col("ts_ms") / self.width(source)) * self.width(source)).cast("long").alias("shard")).dropDuplicates(["shard", "pk"])
         from tidemark.sources.checkpoints import checkpointed
 
         wide = checkpointed(wide)
-        touched = [r.day for r in wide.select("day").distinct().collect()]
+        touched = [r.shard for r in wide.select("shard").distinct().collect()]
         accepted = wide.count()
         if touched:
-            there = sorted(set(self.days(source)) & set(touched))
+            there = sorted(set(self.shards(source)) & set(touched))
             if there:
-                old = self.spark.read.option("mergeSchema", "true").parquet(self.path(source)).where(F.col("day").isin(there))
-                kept = old.join(wide.select("day", "pk"), ["day", "pk"], "left_anti")
+                old = self.spark.read.option("mergeSchema", "true").parquet(self.path(source)).where(F.col("shard").isin(there))
+                kept = old.join(wide.select("shard", "pk"), ["shard", "pk"], "left_anti")
                 wide = checkpointed(kept.unionByName(wide, allowMissingColumns=True))
-            wide.repartition("day").sortWithinPartitions("ts_ms", "pk").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(self.path(source))
+            wide.repartition("shard").sortWithinPartitions("ts_ms", "pk").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(self.path(source))
             span = wide.agg(F.min("ts_ms"), F.max("ts_ms")).first()
             self.catalogue.observe(source, labels, types, span[0], span[1])
             self.save()
@@ -166,24 +193,45 @@ class Store:
         return Planner(self.catalogue, self.table, self.values)
 
     def sweep(self, now_ms: int) -> dict[str, int]:
-        """Drops days that lie before their set's retention, and rows of the day it falls in."""
+        """Drops shards that lie before their set's retention, and rows of the shard it falls in."""
         dropped: dict[str, int] = {}
         for s, info in list(self.catalogue.known.items()):
             if not info.retention_ms:
                 continue
             limit = now_ms - info.retention_ms
-            for day in self.days(s):
-                if (day + 1) * DAY_MS <= limit:
-                    fs, p = self._fs(f"{self.path(s)}/day={day}")
+            for shard in self.shards(s):
+                if shard + self.width(s) <= limit:
+                    fs, p = self._fs(f"{self.path(s)}/shard={shard}")
                     fs.delete(p, True)
                     dropped[s] = dropped.get(s, 0) + 1
-            if self.days(s):
+                elif shard < limit:
+                    self._cut(s, shard, limit)
+            if self.shards(s):
                 info.first_ts = max(info.first_ts or 0, limit)
             else:
                 self.catalogue.known[s] = SetInfo(declared=info.declared, buckets=info.buckets, retention_ms=info.retention_ms)
         self.save()
         return dropped
 
+    def _cut(self, source: str, shard: int, limit: int) -> None:
+        """Rewrites a shard without its rows before an instant."""
+        from tidemark.sources.checkpoints import checkpointed
+
+        rows = self.spark.read.option("mergeSchema", "true").parquet(self.path(source)).where(F.col("shard") == shard)
+        if rows.where(F.col("ts_ms") < limit).isEmpty():
+            return
+        kept = checkpointed(rows.where(F.col("ts_ms") >= limit))
+        if kept.isEmpty():
+            fs, p = self._fs(f"{self.path(source)}/shard={shard}")
+            fs.delete(p, True)
+        else:
+            kept.sortWithinPartitions("ts_ms", "pk").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(self.path(source))
+
+    def get(self, source: str, pk: str, columns: list[str] | None = None) -> DataFrame:
+        """The sample of a key, all of its columns or some."""
+        rows = self.table(source).where(F.col("pk") == pk)
+        return rows.select(*columns) if columns else rows
+
     def drop(self, source: str) -> None:
         fs, p = self._fs(self.path(source))
         fs.delete(p, True)
@@ -191,8 +239,8 @@ class Store:
         self.save()
 
     def compact(self, source: str) -> None:
-        """Each day's files as one."""
+        """Each shard's files as one."""
         from tidemark.sources.checkpoints import checkpointed
 
         d = checkpointed(self.spark.read.option("mergeSchema", "true").parquet(self.path(source)))
-        d.repartition("day").sortWithinPartitions("ts_ms", "pk").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(self.path(source))
+        d.repartition("shard").sortWithinPartitions("ts_ms", "pk").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(self.path(source))

@@ -32,11 +32,12 @@ def advance(path: str, seen: dict | None, most: int) -> tuple[list[tuple[int, st
     end = data.rfind(b"\n") + 1
     if not end and len(data) == most:  # a line longer than all that may be read: taken as it is, else it would stop the file
         end = len(data)
-    for line in data[:end].splitlines(keepends=True):
-        out.append((at, line.rstrip(b"\r\n").decode("utf-8", "replace")))
-        at += len(line)
+    begin = at
+    for line in data[:end].split(b"\n")[: None if end and data[end - 1 : end] != b"\n" else -1]:
+        out.append((at, line.removesuffix(b"\r").decode("utf-8", "replace")))
+        at = min(at + len(line) + 1, begin + end)
     width = min(PRINT, at)
-    return out, {"at": at, "width": width, "mark": fingerprint(path, width) if width else ""}
+    return out, {"from": begin, "at": at, "width": width, "mark": fingerprint(path, width) if width else ""}
 
 
 class _Reader(SimpleDataSourceStreamReader):
@@ -54,7 +55,7 @@ class _Reader(SimpleDataSourceStreamReader):
         for p in self.files():
             size = os.path.getsize(p)
             width = min(PRINT, size)
-            found[p] = {"at": size, "width": width, "mark": fingerprint(p, width) if width else ""}
+            found[p] = {"from": size, "at": size, "width": width, "mark": fingerprint(p, width) if width else ""}
         return found
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
@@ -66,8 +67,8 @@ class _Reader(SimpleDataSourceStreamReader):
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
         for p, last in end.items():
-            first = start.get(p)
-            begin = first["at"] if first and last["at"] >= first["at"] else 0
+            # Where the reading began says whether the file had been replaced.
+            begin = last["from"] if last != start.get(p) else last["at"]
             if os.path.exists(p):
                 lines, _ = advance(p, {"at": begin, "width": 0, "mark": ""}, max(0, last["at"] - begin))
                 yield from ((p, at, line) for at, line in lines)
