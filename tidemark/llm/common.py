@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: Lower-casing of A-Z alone, as the contracts ask.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of a batch that a worker looks at at once; words whose hash it remembers; bits of a filter of rows (Marks).
-SLICE, REMEMBERED, MARK_BITS = 4 << 20, 400_000, 25
+SLICE, REMEMBERED, MARK_BITS = 4 << 20, 100_000, 25
 BATCH, BATCH_BYTES = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 NULL_ID = (1 << 63) - 1
 #: What a row is known by: its doc_id, NULL_ID for none, and a hash of its text.

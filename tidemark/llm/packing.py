@@ -28,7 +28,7 @@ from tidemark.llm.units import UnitCache, together
 #: Tokens of a sequence, and documents of a group.
 CAPACITY, GROUP = 4096, 8192
 #: Words whose ids a worker remembers; characters of texts that it encodes at once.
-CACHED, TOGETHER = 250_000, 2_000_000
+CACHED, TOGETHER = 60_000, 500_000
 #: A bin whose room is at most a share DONE of it is not packed again in the next round. Once packing all others again
 #: saves nothing, one bin in REOPENED, the emptiest, is.
 REOPENED, DONE = 4, 1 / 1024
