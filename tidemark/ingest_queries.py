@@ -117,16 +117,6 @@ def yearless(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(cell("n").alias("n"), "ts_ms")
 
 
-def epoch_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    us, out = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(ts as timestamp_ntz))"), None
-    for unit, text in (("epoch_s", F.floor(us / 1_000_000).cast("long").cast("string")), ("epoch_ms", F.floor(us / 1000).cast("long").cast("string")), ("epoch_us", us.cast("string")), ("epoch_ns", F.concat(us.cast("string"), F.lit("789")))):
-        spec = spec_of({"set": unit, "extract": [r"id=(?P<id>\d+)"]}, formats=[{"layout": unit, "regex": r"\d+"}])
-        lines = read(spark, sf_dir, "events").select(F.lit(unit).alias("stream"), F.col("event_id").alias("ord"), F.concat(text, F.lit(" id="), F.col("event_id").cast("string")).alias("line"))
-        r = extracted(lines, spec, spec.profiles[0]).select("set", cell("id").alias("id"), "ts_ms", "sub_us")
-        out = r if out is None else out.unionByName(r)
-    return out.withColumnRenamed("set", "unit")
-
-
 def line_protocol(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of ten lines one lacks its fields and one its time, which then is the arrival."""
     k = F.col("event_id")
@@ -222,7 +212,7 @@ def output_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "extract_samples": extract_samples, "extract_report": extract_report, "time_slice": time_slice, **{f"windows_{m}": windows(m) for m in ("increment", "sum", "max", "last")},
-        "extract_histogram": extract_histogram, "multiline": multiline, "yearless": yearless, "epoch_units": epoch_units, "line_protocol": line_protocol,
+        "extract_histogram": extract_histogram, "multiline": multiline, "yearless": yearless, "line_protocol": line_protocol,
         "store_upsert": store_upsert, "store_refused": store_refused, "store_retention": store_retention, "store_catalogue": store_catalogue, "store_query": store_query,
         "series_range": _asked("FROM events SELECT value BY event_type EVERY 1h", Request(FROM, TO)),
         "series_default_width": _asked("FROM events SELECT value GAP 1h BY event_type", Request(FROM, TO, 200)),
@@ -278,7 +268,6 @@ def oracle_sql() -> dict[str, str]:
             {big(f'CASE WHEN {whole} THEN {tail} END', 'tail')}, {big(f'CASE WHEN {whole} THEN {tail} + {k} % 7 + {k} % 3 + {k} % 11 END', 'smallplus')}, {big(f'CASE WHEN {whole} THEN {tail} + {k} % 3 + {k} % 11 END', 'middleplus')}, {big(f'CASE WHEN {whole} THEN {tail} + {k} % 11 END', 'largeplus')} FROM orders""",
         "multiline": f"SELECT CAST({k} AS VARCHAR) AS number, {hint} AS ts_ms, 'x' || coalesce(string_agg(l_returnflag, '' ORDER BY l_linenumber, l_returnflag), '') AS flags FROM orders LEFT JOIN lineitem ON l_orderkey = {k} GROUP BY {k}, o_orderdate",
         "yearless": f"SELECT {big(k, 'n')}, {hint} AS ts_ms FROM orders",
-        "epoch_units": " UNION ALL ".join(f"SELECT '{u}' AS unit, {big('event_id', 'id')}, {ms} AS ts_ms, CAST({us} AS INTEGER) AS sub_us FROM events" for u, ms, us in (("epoch_s", "epoch_us(ts) // 1000000 * 1000", "0"), ("epoch_ms", "epoch_us(ts) // 1000", "0"), ("epoch_us", "epoch_us(ts) // 1000", "epoch_us(ts) % 1000"), ("epoch_ns", "epoch_us(ts) // 1000", "epoch_us(ts) % 1000"))),
         "line_protocol": f"""WITH {_SHOP} SELECT CASE WHEN NOT timeless THEN 'ev' END AS set, CASE WHEN timeless THEN NULL WHEN idle THEN CAST(5 AS BIGINT) ELSE ms END AS ts_ms, CASE WHEN NOT timeless THEN kind END AS kind, CASE WHEN NOT timeless THEN shopper END AS shopper,
             CASE WHEN idle THEN 'receiver' END AS ts_source, CASE WHEN NOT timeless THEN cents END AS cents, CASE WHEN NOT timeless THEN 'a, b' END AS note, timeless AS refused FROM e""",
         "store_upsert": f"SELECT {hint} AS ts_ms, o_orderstatus AS status, {big(k, 'number')}, {big(f'CASE WHEN {k} % 5 = 0 THEN -{k} ELSE {k} END', 'total')} FROM orders",
