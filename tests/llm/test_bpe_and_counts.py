@@ -4,7 +4,8 @@ import public_tokenizers as P
 import tiktoken
 
 from tidemark.llm import bpe, packing, token_counts
-from tidemark.llm.units import UnitCache
+from tidemark.llm import units
+from tidemark.llm.units import RecurringCache, UnitCache
 
 ALPHABET = list(" \n\tab'sltéÉß1²½!#  \x1c\x85\xa0中日ΣσİK<|>Å") + [chr(c) for c in (0x558, 0x88F, 0x11DE0, 0x3FC3D, 0x2003)]
 
@@ -42,8 +43,26 @@ def test_counts_equal_the_library():
 
 def test_packing_ids_equal_the_library():
     encode, whole = packing.unit_ids(P.path("word_bpe_49k.json"))
-    for s, ids in zip(texts(), packing.encode_texts(texts(), UnitCache(encode), whole), strict=True):
-        assert ids == whole(s), repr(s)
+    for cache in (RecurringCache(encode, 300_000), RecurringCache(encode, 50)):
+        for _ in range(2):
+            for s, ids in zip(texts(), packing.encode_texts(texts(), cache, whole), strict=True):
+                assert ids == whole(s), repr(s)
+
+
+def test_recurring_cache(monkeypatch):
+    asked = []
+    cache = RecurringCache(lambda us: asked.extend(us) or [u * 2 for u in us], 8)
+    for k in range(40):
+        some = {"the", "a", f"w{k}", f"w{k % 3}", "x" * 200}
+        cache.fill(some)
+        assert all(cache[u] == u * 2 for u in some)
+        assert len(cache) + len(cache.older) <= 8 + 2 * len(some)
+    assert asked.count("the") == asked.count("a") == 2 and asked.count("x" * 200) == 40
+    monkeypatch.setattr(units, "MARKS", 16)
+    cache = RecurringCache(lambda us: [u * 2 for u in us], 4)
+    for k in range(200):
+        cache.fill({str(k), str(k // 2)})
+        assert cache[str(k)] == str(k) * 2 and cache[str(k // 2)] == str(k // 2) * 2
 
 
 def test_tables(spark):

@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import batch, cache_of, checkpointed, documents, map_arrow, texts, tokenizer_path
-from tidemark.llm.units import UnitCache, together
+from tidemark.llm.units import RecurringCache, together
 
 #: Tokens of a sequence, and documents of a group.
 CAPACITY, GROUP = 4096, 8192
 #: Words whose ids a worker remembers; characters of texts that it encodes at once.
-CACHED, TOGETHER = 60_000, 500_000
+CACHED, TOGETHER = 300_000, 500_000
 #: A bin whose room is at most a share DONE of it is not packed again in the next round. Once packing all others again
 #: saves nothing, one bin in REOPENED, the emptiest, is.
 REOPENED, DONE = 4, 1 / 1024
@@ -37,7 +37,7 @@ PLACED = f"{PIECE}, sequence_id long, offset long"
 
 
 def unit_ids(path: str):
-    """encode(units) for UnitCache: packed ids of words between white space, many in one call of the library."""
+    """encode(units) for RecurringCache: packed ids of words between white space, many in one call of the library."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -71,11 +71,11 @@ def _worker(path: str):
     if path not in cache:
         cache.clear()
         encode, whole = unit_ids(path)
-        cache[path] = UnitCache(encode, most=CACHED), whole
+        cache[path] = RecurringCache(encode, CACHED), whole
     return cache[path]
 
 
-def encode_texts(texts: list[str], cache: UnitCache, whole) -> Iterator[bytes]:
+def encode_texts(texts: list[str], cache: RecurringCache, whole) -> Iterator[bytes]:
     """Packed ids of texts, by a vocabulary that drops white space."""
     for run in together(texts, TOGETHER):
         rows = [None if any(o in x for o in ODD) else x.split() for x in run]

@@ -11,6 +11,8 @@ import numpy as np
 JOINED = re.compile(r"\s (?:\s|\Z)")
 #: Entries of a cache; characters of the longest unit that stays in it; characters of texts that are handled together.
 CACHE, LONG, TOGETHER = 800_000, 96, 6_000_000
+#: Hashes that a RecurringCache tells apart; a power of two.
+MARKS = 1 << 20
 
 
 def cut(text: str) -> list[str] | None:
@@ -52,6 +54,41 @@ class UnitCache(dict):
         self.long = [u for u in missing if len(u) > LONG]
 
 
+class RecurringCache(dict):
+    """unit -> value, as UnitCache, for few entries: a unit stays once it has come in two fills.
+
+    Units that come once, most of all, would drive out those that come again. Which have come is noted in a table of
+    ``MARKS`` bytes by their hash. At half of ``most`` entries the cache becomes the older half, of which what is asked for
+    again moves to the younger one. A unit that is wrongly in or out is only encoded once more or kept in vain.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], Iterable], most: int):
+        super().__init__()
+        self.encode, self.most, self.older, self.once = encode, most, {}, []
+        self.marks, self.marked = bytearray(MARKS), 0
+
+    def fill(self, units: set[str]) -> None:
+        for u in self.once:
+            self.pop(u, None)
+        if 2 * len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
+        if 4 * self.marked > MARKS:
+            self.marks, self.marked = bytearray(MARKS), 0
+        missing, self.once = [], []
+        for u in units - self.keys():
+            if u in self.older:
+                self[u] = self.older[u]
+                continue
+            missing.append(u)
+            at = hash(u) & MARKS - 1
+            if len(u) > LONG or not self.marks[at]:
+                self.once.append(u)
+                self.marked += not self.marks[at]
+                self.marks[at] = 1
+        self.update(zip(missing, self.encode(missing), strict=True))
+
+
 def split_by_offsets(starts: np.ndarray, lengths: list[int]) -> np.ndarray:
     """For joined strings of these lengths: how many of the sorted offsets ``starts`` lie in each."""
     ends = np.cumsum(np.asarray(lengths, np.int64))
