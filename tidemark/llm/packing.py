@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import batch, cache_of, checkpointed, documents, map_arrow, texts, tokenizer_path
-from tidemark.llm.units import RecurringCache, together
+from tidemark.llm.units import RecurringCache, UnitCache, together
 
 #: Tokens of a sequence, and documents of a group.
 CAPACITY, GROUP = 4096, 8192
-#: Words whose ids a worker remembers; characters of texts that it encodes at once.
+#: Words whose ids a worker with little memory may remember; characters of texts that it encodes at once.
 CACHED, TOGETHER = 300_000, 500_000
 #: A bin whose room is at most a share DONE of it is not packed again in the next round. Once packing all others again
 #: saves nothing, one bin in REOPENED, the emptiest, is.
@@ -37,7 +37,7 @@ PLACED = f"{PIECE}, sequence_id long, offset long"
 
 
 def unit_ids(path: str):
-    """encode(units) for RecurringCache: packed ids of words between white space, many in one call of the library."""
+    """encode(units) for a cache of units: packed ids of words between white space, many in one call of the library."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -66,16 +66,16 @@ def unit_ids(path: str):
 ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 
 
-def _worker(path: str):
+def _worker(path: str, cached: int | None):
     cache = cache_of(__name__)
-    if path not in cache:
+    if (path, cached) not in cache:
         cache.clear()
         encode, whole = unit_ids(path)
-        cache[path] = RecurringCache(encode, CACHED), whole
-    return cache[path]
+        cache[path, cached] = RecurringCache(encode, cached) if cached else UnitCache(encode), whole
+    return cache[path, cached]
 
 
-def encode_texts(texts: list[str], cache: RecurringCache, whole) -> Iterator[bytes]:
+def encode_texts(texts: list[str], cache: RecurringCache | UnitCache, whole) -> Iterator[bytes]:
     """Packed ids of texts, by a vocabulary that drops white space."""
     for run in together(texts, TOGETHER):
         rows = [None if any(o in x for o in ODD) else x.split() for x in run]
@@ -89,12 +89,15 @@ def encode_texts(texts: list[str], cache: RecurringCache, whole) -> Iterator[byt
             yield whole(x) if r is None else b"".join(map(get, r))
 
 
-def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:
-    """The pieces of every row's ids, cut at ``capacity``, with the checksum of their ids."""
+def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = 1, cached: int | None = None) -> DataFrame:
+    """The pieces of every row's ids, cut at ``capacity``, with the checksum of their ids.
+
+    ``cached``: words that a worker may remember; None for units.CACHE, which takes more memory and less time. Results don't depend on it.
+    """
     path = path or tokenizer_path("word_bpe_49k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, whole = _worker(path)
+        cache, whole = _worker(path, cached)
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
@@ -322,9 +325,9 @@ def pack_groups(items: DataFrame, groups: int, capacity: int, level: int) -> Dat
     return map_arrow(items.select("doc_id", "piece", "start", "length", "ids_crc32").repartition(groups), run, f"{PLACED}, done boolean, emptiest boolean")
 
 
-def best_fit(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, group: int = GROUP, end_id: int = 1) -> DataFrame:
+def best_fit(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, group: int = GROUP, end_id: int = 1, cached: int | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every row of ``docs``."""
-    cut = checkpointed(pieces(docs, path, capacity, end_id))
+    cut = checkpointed(pieces(docs, path, capacity, end_id, cached))
     full = cut.where(F.col("length") == capacity).withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     out, left, level = [full], cut.where(F.col("length") < capacity), 1
     n, before, open_bins, narrow = left.count(), None, None, False
