@@ -48,7 +48,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents and their places in sequences."""
-    return packing.best_fit(docs)
+    return packing.best_fit(docs, cached=packing.CACHED)
 
 
 STAGES = [
