@@ -32,3 +32,7 @@ def test_named_ceilings_hold(spark, sf_dir):
     assert [n.code for n in p.run(text, request).late_notes()] == ["W401"]
     assert users(p.run(f"{text} LIMIT SERIES 1000", request).rows) == 1000
     assert users(p.run(text, Request(0, queries.LAST_MS, max_series=7)).rows) == 7
+
+
+def test_negated_series_are_all_drawn(spark, sf_dir):
+    assert users(queries.queries()["series_negate"](spark, sf_dir)) == USERS
