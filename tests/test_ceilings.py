@@ -36,3 +36,7 @@ def test_named_ceilings_hold(spark, sf_dir):
 
 def test_negated_series_are_all_drawn(spark, sf_dir):
     assert users(queries.queries()["series_negate"](spark, sf_dir)) == USERS
+
+
+def test_filtered_series_are_all_drawn(spark, sf_dir):
+    assert users(queries.queries()["where_equal"](spark, sf_dir)) == USERS
