@@ -40,3 +40,7 @@ def test_negated_series_are_all_drawn(spark, sf_dir):
 
 def test_filtered_series_are_all_drawn(spark, sf_dir):
     assert users(queries.queries()["where_equal"](spark, sf_dir)) == USERS
+
+
+def test_output_bound_counts_all_series(spark, sf_dir):
+    assert [tuple(r) for r in ingest_queries.queries()["output_bound"](spark, sf_dir).collect()] == [(USERS, 0)]
