@@ -133,3 +133,32 @@ def test_shared_counts():
         left, right = np.arange(0, n, 2), np.arange(1, n, 2)
         x = m.astype(int)
         assert (partenum.shared(row, column, left, right) == x[left] @ x[right].T).all()
+
+
+def test_shared_passages_do_not_chain_unrelated_sets(spark, monkeypatch):
+    """Texts that have passages in common with the next ones, and no more, aren't candidates; near copies and copies are."""
+    rng = random.Random(9)
+    passages = [[f"p{k}w{j}" for j in range(20)] for k in range(61)]
+    rows = [(k, " ".join([*passages[k], *(f"d{rng.randrange(10**9)}" for _ in range(400)), *passages[k + 1]])) for k in range(60)]
+    rows += [(100 + k, rows[k][1] + " more") for k in range(5)] + [(200, rows[7][1])]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    signed, edges = [], partenum.candidate_edges
+
+    def counted(x, *more):
+        signed.extend(r.doc_id for r in x.select("doc_id").collect())
+        return edges(x, *more)
+
+    monkeypatch.setattr(partenum, "candidate_edges", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in partenum.join(d).collect()}
+    assert got == brute(rows)[0]
+    assert set(range(5)) | {100 + k for k in range(5)} <= set(signed) <= set(range(5)) | {100 + k for k in range(5)} | {7, 200}
+
+
+def test_partnered_keeps_all_that_link(spark, monkeypatch):
+    monkeypatch.setattr(partenum, "HELD", 3000)
+    rows = corpus(11)
+    d = partenum.identified(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    sets = {i: partenum.set_key(partenum.shingles(t)) for i, t in rows}
+    stay = {sets[r.doc_id] for r in partenum.partnered(d).collect()}
+    links = brute(rows)[1]
+    assert len(links) > 50 and all(sets[a] in stay and sets[b] in stay for a, b in links if sets[a] != sets[b])

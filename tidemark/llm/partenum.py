@@ -13,6 +13,10 @@ A partition that holds nothing of a set signs nothing: as long as a set fills mo
 similar sets share one that isn't empty. The few sets that fill fewer sign their empty ones as well. Very frequent shingles
 are left out of the domain as long as the others suffice, see signatures().
 
+Only sets that can have a partner sign: where more than a fifth of a set's shingles occur in no other set, it has none, see
+partnered(). Without that, passages that unrelated texts share chain ever more of them to one candidate component as the input
+grows, whose verification is quadratic.
+
 Sets stand for all documents that have them, so copies are one node; a set is known by 128 bits. Rows with the same
 signature become a star to their least set, per task before the shuffle and per signature after it. The stars' components
 hold all similar pairs. Within them an exact join verifies: sets fall into tiers by size, with those of the next tier that can be
@@ -33,6 +37,7 @@ from math import ceil, floor, log
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +49,8 @@ WORDS, PERCENT, BAND = 5, 80, 1.6
 BLOCK, ELEMENTS, HELD = 2048, 4_000_000, 600_000
 #: Frequent shingles: of a task, of all (8 bytes each in a broadcast), and how often one has to be seen.
 HOT_TASK, HOT, HOT_LEAST = 1 << 15, 1 << 16, 32
+#: Of so many shingles one is looked for in other sets; buckets that these are dealt to; sets that a task sends at once.
+EVERY, BUCKETS, SENT = 3, 1024, 1 << 16
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -194,6 +201,99 @@ def hot_shingles(found: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.hot for r in rows], np.int64).view(np.uint64))
 
 
+def partnered(rows: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Rows of identified() but those whose set surely has no similar other one; of equal sets at least one row stays.
+
+    What a set has alone, any other lacks, and a similar one may lack (100 - percent) of 100 at most. One of EVERY shingles
+    is counted, the same in all sets: what it shows alone is a lower bound. So is what 42 bits of a hash tell apart. Shingles
+    travel as 6 bytes each to their bucket, and the places of the lonely ones as 2 bytes each back to the sets sent together.
+    """
+    blob = "sent long, bucket int, data binary"
+    types = (pa.int64(), pa.int32(), pa.binary())
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = TaskContext.get().partitionId() << 32
+        seen: set[int] = set()
+        held: list[np.ndarray] = []
+        heads: list[tuple[int, int, int]] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            x = np.concatenate(held)
+            at = np.repeat(np.arange(len(held), dtype=np.uint16), [len(h) for h in held])
+            where = (x >> np.uint64(54)).astype(np.int64)
+            order = where.argsort(kind="stable")
+            x, at = x[order].astype(np.uint32), at[order]
+            ends = np.searchsorted(where[order], np.arange(BUCKETS + 1))
+            some = np.flatnonzero(np.diff(ends))
+            data = [at[ends[k] : ends[k + 1]].tobytes() + x[ends[k] : ends[k + 1]].tobytes() for k in some]
+            # The sets themselves pass through; a bucket past the others spreads them.
+            head = BUCKETS + sent % BUCKETS
+            return batch(("sent", "bucket", "data"), ([sent] * (len(some) + 1), [*some.tolist(), head], [*data, np.array(heads, np.int64).tobytes()]), types)
+
+        for b in batches:
+            for doc, row, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                x = shingles(text, words)
+                if not len(x) or (i := node_of(set_key(x))) in seen:
+                    continue
+                if len(seen) < 1_000_000:
+                    seen.add(i)
+                held.append(x[(x >> np.uint64(32)) % np.uint64(EVERY) == 0])
+                heads.append((doc, row, len(x)))
+                size += len(held[-1])
+                if size >= HELD or len(held) == SENT:
+                    yield out()
+                    held, heads, size, sent = [], [], 0, sent + 1
+        if heads:
+            yield out()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def settle(group: list[tuple[int, bytes]]) -> pa.RecordBatch:
+            at = [np.frombuffer(d, np.uint16, len(d) // 6) for _, d in group]
+            x = np.concatenate([np.frombuffer(d, np.uint32, len(d) // 6, len(d) // 6 * 2) for _, d in group])
+            order = x.argsort(kind="stable")
+            again = x[order][1:] == x[order][:-1]
+            lonely = np.ones(len(x), bool)
+            lonely[order[1:][again]] = lonely[order[:-1][again]] = False
+            flags = np.split(lonely, np.cumsum([len(a) for a in at])[:-1])
+            return batch(("sent", "bucket", "data"), ([s for s, _ in group], [0] * len(group), [a[f].tobytes() for a, f in zip(at, flags, strict=True)]), types)
+
+        last, group = None, []
+        for b in batches:
+            for sent, bucket, data in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                if bucket != last and group:
+                    yield settle(group)
+                    group = []
+                last = bucket
+                if bucket >= BUCKETS:
+                    yield batch(("sent", "bucket", "data"), ([sent], [-1], [data]), types)
+                else:
+                    group.append((sent, data))
+        if group:
+            yield settle(group)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads, lonely = np.empty((0, 3), np.int64), np.empty(0, np.int64)
+
+        def kept() -> pa.RecordBatch:
+            stay = heads[100 * lonely <= (100 - percent) * heads[:, 2]]
+            return batch(ROW, (stay[:, 0], stay[:, 1]), (pa.int64(), pa.int64()))
+
+        for b in batches:
+            for bucket, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if bucket < 0:  # first of what was sent together
+                    yield kept()
+                    heads = np.frombuffer(data, np.int64).reshape(-1, 3)
+                    lonely = np.zeros(len(heads), np.int64)
+                else:
+                    lonely += np.bincount(np.frombuffer(data, np.uint16), minlength=len(heads))
+        yield kept()
+
+    met = map_arrow(map_arrow(rows.select(*ROW, "text"), send, blob).repartition("bucket").sortWithinPartitions("bucket"), meet, blob)
+    stay = checkpointed(map_arrow(met.repartition("sent").sortWithinPartitions("sent", "bucket"), count, "doc_id long, row long"))
+    return Marks(stay, *ROW).there(rows)
+
+
 def stars(signature: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which rows, sorted by signature and node, come first of their signature; and the edges of the others to those."""
     lead = np.concatenate([[True], signature[1:] != signature[:-1]])
@@ -409,7 +509,7 @@ def classes(rows: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     """
     found = checkpointed(sets(rows, words))
     members, hot = found.where("hot is null").drop("hot", "df"), hot_shingles(found)
-    links = verified(rows, members, components(candidate_edges(rows, words, percent, hot)), words, percent)
+    links = verified(rows, members, components(candidate_edges(partnered(rows, words, percent), words, percent, hot)), words, percent)
     found = components(links)
     # The least row of a set, then of a component: pre-aggregated before each shuffle.
     least = members.where("set_key is not null").groupBy("set_key").agg(F.min(F.struct(*ROW)).alias("least"))
