@@ -16,12 +16,13 @@ count whole. One row a row of input, repeated rows alike; other columns are igno
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from tidemark.llm.common import batch, bounded_batches, cache_of, map_arrow
 
@@ -144,14 +145,15 @@ def predicted(text: Column, profiles: dict[str, list[int]], size: int = PROFILE)
     return predict(text.cast("string"))
 
 
-def identify(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of every row."""
+def identify(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) of every row, then the columns of ``docs`` named in ``keep`` as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Profiles(profiles, size)
         for b in batches:
             got = [p.predict(x) for x in b.column(2).to_pylist()]
-            yield batch(["doc_id", "held_out", "lang_pred", "score"], [b.column(0), b.column(1), [x for x, _ in got], [y for _, y in got]], [pa.int64(), pa.bool_(), pa.string(), pa.float64()])
+            yield batch(["doc_id", "held_out", "lang_pred", "score", *keep], [b.column(0), b.column(1), [x for x, _ in got], [y for _, y in got], *b.columns[3:]], [pa.int64(), pa.bool_(), pa.string(), pa.float64(), *(c.type for c in b.columns[3:])])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return map_arrow(rows, run, "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`") for c in keep])
+    fields = [StructField("doc_id", LongType()), StructField("held_out", BooleanType()), StructField("lang_pred", StringType()), StructField("score", DoubleType())]
+    return map_arrow(rows, run, StructType([*fields, *[docs.schema[c] for c in keep]]))
