@@ -162,3 +162,17 @@ def test_partnered_keeps_all_that_link(spark, monkeypatch):
     stay = {sets[r.doc_id] for r in partenum.partnered(d).collect()}
     links = brute(rows)[1]
     assert len(links) > 50 and all(sets[a] in stay and sets[b] in stay for a, b in links if sets[a] != sets[b])
+
+
+def test_keep_one_signs_only_sets_with_a_chance(spark, monkeypatch):
+    rows = [(k, " ".join([*(f"p{j}" for j in range(20)), *(f"d{k}w{j}" for j in range(400))])) for k in range(20)]
+    rows.append((100, rows[3][1] + " more"))
+    signed, edges = [], partenum.candidate_edges
+
+    def counted(x, *more):
+        signed.extend(r.doc_id for r in x.select("doc_id").collect())
+        return edges(x, *more)
+
+    monkeypatch.setattr(partenum, "candidate_edges", counted)
+    kept = partenum.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(20)) and sorted(signed) == [3, 100]
