@@ -92,3 +92,25 @@ def test_every_bin_with_room_meets_other_groups(spark, monkeypatch):
     open_ids = {s for s, n in fills.items() if 4096 - n > 4}
     assert rounds[0][1] == 10 and rounds[1][0] == sum(r.sequence_id in open_ids for r in rounds[0][2])
     assert sorted(r.doc_id for r in got) == list(range(160)) and len({r.sequence_id for r in got}) <= len(fills)
+
+
+def test_units_of_latin_1_are_as_the_librarys():
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tidemark.llm import packing
+    from tidemark.llm.units import UnitCache
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, (encode, whole) = Tokenizer.from_file(path), packing.unit_ids(path)
+    asked = []
+    cache = UnitCache(lambda units: asked.extend(units) or encode(units))
+    rng = random.Random(6)
+    some = [*map(chr, range(256)), *"aeinst.,'é", "'s", "'LL", "</w>", "ab", " ", "\u0301", "ſ", "İ", "Σ", "漢"]
+    texts = [*(f"x{chr(k)}y {chr(k)}" for k in range(0x250)), "The the THE tHe's THE'S", "Œuvre œuvre", "e\u0301 É", "", " "]
+    texts += ["".join(rng.choice(some) for _ in range(rng.randint(1, 60))) for _ in range(3000)]
+    for x, ids in zip(texts, packing.encode_texts(texts, cache, whole, packing.folds(path)), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
+    assert "the" in asked and not {"The", "THE", "tHe's"} & set(asked)
+    assert not packing.folds(public_tokenizers.path("byte_bpe_50k.json"))

@@ -14,8 +14,12 @@ give none. Only doc_id and text are read; other columns are ignored.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -36,24 +40,84 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECE}, sequence_id long, offset long"
 
 
+#: The vocabulary's pattern for lower-cased Latin-1, and the end of a word's last token.
+PRETOKENS = re.compile("'(?:[stmd]|re|ve|ll)|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\\sa-z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff]+")
+END = "</w>"
+#: The characters that byte level stands for bytes with; spaces stay.
+SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+HIDDEN = [x for x in range(256) if x not in SHOWN]
+LEVEL = np.array([x if x in SHOWN or x == 32 else 256 + HIDDEN.index(x) for x in range(256)], "<u4")
+
+
+def is_latin(text: str) -> bool:
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
+
+def folds(path: str) -> bool:
+    """Whether a vocabulary lower-cases, cuts by the pattern that PRETOKENS is of, and ends words by END, over all bytes."""
+    with open(path, encoding="utf-8") as f:
+        j = json.load(f)
+    normalizers = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    split = {"type": "Split", "pattern": {"Regex": pattern}, "behavior": "Removed", "invert": True}
+    level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    m, characters = j["model"], [*map(chr, LEVEL[np.arange(256) != 32].tolist()), chr(256 + HIDDEN.index(32))]
+    return (
+        j["normalizer"] == {"type": "Sequence", "normalizers": normalizers} and j["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [split, level]} and m["type"] == "BPE"
+        and not any(m.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "ignore_merges")) and m["end_of_word_suffix"] == END and all(c in m["vocab"] and c + END in m["vocab"] for c in characters)
+    )
+
+
 def unit_ids(path: str):
-    """encode(units) for a cache of units: packed ids of words between white space, many in one call of the library."""
-    from tokenizers import Tokenizer
+    """encode(units) for a cache of units: packed ids of words between white space, many in one call of the library.
+
+    NFC doesn't change Latin-1, and lower-casing it no lengths: where the vocabulary folds(), such units are cut by PRETOKENS
+    here and go to the library's model without its normalizers and pattern, which take more time than the model. All others
+    go through the whole of it.
+    """
+    from tokenizers import Tokenizer, pre_tokenizers
 
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
+    known = folds(path)
+    model = Tokenizer(t.model)
+    model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    vocabulary = t.get_vocab(with_added_tokens=False)
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[k for x, k in vocabulary.items() if x.endswith(END)]] = True
+
+    def plain(units: list[str]) -> list[bytes]:
+        pretokens = PRETOKENS.findall(" ".join(units).lower())
+        level = LEVEL[np.frombuffer(" ".join(pretokens).encode(), np.uint8)].tobytes().decode("utf-32-le")
+        ids = np.array(model.encode_batch_fast([level], add_special_tokens=False)[0].ids, "<u4")
+        lengths = np.cumsum(np.fromiter(map(len, pretokens), np.int64, len(pretokens)))
+        last = lengths.searchsorted(np.cumsum(np.fromiter(map(len, units), np.int64, len(units))))
+        cuts = [0, *(4 * np.flatnonzero(ends[ids])[last] + 4).tolist()]
+        packed = ids.tobytes()
+        return [packed[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def others(units: list[str]) -> list[bytes]:
+        got = t.encode(" ".join(units), add_special_tokens=False)
+        ids = np.array(got.ids, "<u4")
+        starts = np.fromiter((x for x, _ in got.offsets), np.int64)
+        cuts = [0, *starts.searchsorted(np.cumsum([len(u) + 1 for u in units]), "left").tolist()]
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def encode(units: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for k in range(0, len(units), 4096):
             some = units[k : k + 4096]
-            got = t.encode(" ".join(some), add_special_tokens=False)
-            ids = np.array(got.ids, "<u4")
-            starts = np.fromiter((x for x, _ in got.offsets), np.int64)
-            ends = np.cumsum([len(u) + 1 for u in some])
-            cuts = [0, *starts.searchsorted(ends, "left").tolist()]
-            out += [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+            if known and is_latin(" ".join(some)):
+                out += plain(some)
+                continue
+            latin = [known and is_latin(u) for u in some]
+            a = iter(plain([u for u, x in zip(some, latin, strict=True) if x]) if any(latin) else [])
+            b = iter(others([u for u, x in zip(some, latin, strict=True) if not x]))
+            out += [next(a if x else b) for x in latin]
         return out
 
     def whole(text: str) -> bytes:
@@ -71,22 +135,34 @@ def _worker(path: str, cached: int | None):
     if (path, cached) not in cache:
         cache.clear()
         encode, whole = unit_ids(path)
-        cache[path, cached] = RecurringCache(encode, cached) if cached else UnitCache(encode), whole
+        cache[path, cached] = RecurringCache(encode, cached) if cached else UnitCache(encode), whole, folds(path)
     return cache[path, cached]
 
 
-def encode_texts(texts: list[str], cache: RecurringCache | UnitCache, whole) -> Iterator[bytes]:
-    """Packed ids of texts, by a vocabulary that drops white space."""
+def encode_texts(texts: list[str], cache: RecurringCache | UnitCache, whole, lower: bool = False) -> Iterator[bytes]:
+    """Packed ids of texts, by a vocabulary that drops white space; with ``lower`` one that folds(), words alike but for case are one unit."""
     for run in together(texts, TOGETHER):
-        rows = [None if any(o in x for o in ODD) else x.split() for x in run]
-        units: set[str] = set()
-        for r in rows:
-            if r:
-                units.update(r)
-        cache.fill(units)
-        get = cache.__getitem__
-        for x, r in zip(run, rows, strict=True):
-            yield whole(x) if r is None else b"".join(map(get, r))
+        units: list[str] = []
+        ends: list[int | None] = []
+        for x in run:
+            if any(o in x for o in ODD):
+                ends.append(None)
+            else:
+                units += (x.lower() if lower and is_latin(x) else x).split()
+                ends.append(len(units))
+        found = list(map(cache.get, units))
+        missing = list(compress(range(len(units)), map(is_, found, repeat(None))))
+        if missing:
+            cache.fill({units[k] for k in missing})
+            for k in missing:
+                found[k] = cache[units[k]]
+        at = 0
+        for x, end in zip(run, ends, strict=True):
+            if end is None:
+                yield whole(x)
+            else:
+                yield b"".join(found[at:end])
+                at = end
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = 1, cached: int | None = None) -> DataFrame:
@@ -97,11 +173,11 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     path = path or tokenizer_path("word_bpe_49k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, whole = _worker(path, cached)
+        cache, whole, lower = _worker(path, cached)
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
-            for doc, ids in zip(b.column(0).to_pylist(), encode_texts(texts(b), cache, whole), strict=True):
+            for doc, ids in zip(b.column(0).to_pylist(), encode_texts(texts(b), cache, whole, lower), strict=True):
                 ids += end
                 for k, start in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[start : start + 4 * capacity]
