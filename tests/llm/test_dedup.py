@@ -141,3 +141,34 @@ def test_rows_that_share_an_id_or_have_none(spark, block):
     assert sorted((str(r.doc_id), r.n_removed, r.kept_sha256) for r in got) == rows_by_text(rows, 400, False)
     # In the pipeline no row may lose words that stand nowhere else.
     assert words("b", 100) in [r.text for r in fm_dedup.clean(d).where("doc_id is null").collect()]
+
+
+def test_what_blocks_share_takes_few_rows(spark, monkeypatch):
+    """Near copies make one key of many contents: blocks are compared by fewer rows than they have windows."""
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdefgh") for _ in range(900))
+    rows = []
+    for i in range(90):
+        x = list(text)
+        x[rng.randrange(900)] = "XYZ"[i % 3]
+        rows.append((i, "".join(x)))
+    made, windows = [], []
+    plain, checkpointed = suffix_dedup.resolve_blocks, suffix_dedup.checkpointed
+
+    def noted(df):
+        out = checkpointed(df)
+        made.append(out.count() if "k1" in out.columns and "n" not in out.columns else 0)
+        return out
+
+    def seen(found, w=400):
+        windows.extend(len(r.data) - w + 1 for r in found.collect())
+        monkeypatch.setattr(suffix_dedup, "checkpointed", noted)
+        out = plain(found, w)
+        monkeypatch.setattr(suffix_dedup, "checkpointed", checkpointed)
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "resolve_blocks", seen)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digests(suffix_dedup.dedup(d, block=8)).collect()}
+    assert got == brute_bytes(rows, 400)
+    assert windows and 0 < sum(made) < sum(windows) / 3
