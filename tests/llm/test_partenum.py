@@ -176,3 +176,31 @@ def test_keep_one_signs_only_sets_with_a_chance(spark, monkeypatch):
     monkeypatch.setattr(partenum, "candidate_edges", counted)
     kept = partenum.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))
     assert sorted(r.doc_id for r in kept.collect()) == list(range(20)) and sorted(signed) == [3, 100]
+
+
+def test_rounds_bound_what_the_exact_join_deals_out(spark, monkeypatch):
+    """A component of 20 blocks has every text in 20 pairs of blocks: all are compared, but few at a time."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(80):
+        x = rows[-1][1].split() if k % 4 else [f"w{rng.randrange(9000)}" for _ in range(100)]
+        x[rng.randrange(100)] = f"v{k}"
+        rows.append((k, " ".join(x)))
+    d = partenum.identified(spark.createDataFrame(rows, "doc_id long, text string"))
+    members = partenum.checkpointed(partenum.sets(d)).where("hot is null")
+    nodes = members.select("node").distinct().collect()
+    edges = spark.createDataFrame([(r.node, nodes[0].node) for r in nodes[1:]], "node long, root long")
+    dealt, run = [], partenum.map_arrow
+
+    def counted(x, *more):
+        if "side" in x.columns:
+            dealt.append(x.count())
+        return run(x, *more)
+
+    monkeypatch.setattr(partenum, "map_arrow", counted)
+    links = partenum.components(partenum.verified(d, members, edges, block=4)).collect()
+    root = {bytes(r.node): bytes(r.root) for r in links}
+    by_id = {r.doc_id: root.get(bytes(r.set_key), bytes(r.set_key)) for r in members.collect()}
+    expected = {i: c for i, (_, c) in brute(rows)[0].items()}
+    assert {(a, b) for a in by_id for b in by_id if by_id[a] == by_id[b]} == {(a, b) for a in expected for b in expected if expected[a] == expected[b]}
+    assert sum(dealt) == 80 * 20 and max(dealt) <= 3 * 80

@@ -32,7 +32,7 @@ Ties can't occur: of rows alike in doc_id and text each gets the same. Other col
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 from math import ceil, floor, log
 
 import numpy as np
@@ -47,6 +47,8 @@ from tidemark.llm.windows import Hashes, mix
 WORDS, PERCENT, BAND = 5, 80, 1.6
 #: Sets of a block of the exact join, and shingles of all its sets; signatures that a task holds before it sends them on.
 BLOCK, ELEMENTS, HELD = 2048, 4_000_000, 600_000
+#: Shingles that a round of the exact join deals out, as a multiple of those of all sets.
+DEALT = 1.0
 #: Frequent shingles: of a task, of all (8 bytes each in a broadcast), and how often one has to be seen.
 HOT_TASK, HOT, HOT_LEAST = 1 << 15, 1 << 16, 32
 #: Of so many shingles one is looked for in other sets; buckets that these are dealt to; sets that a task sends at once.
@@ -457,6 +459,8 @@ def verified(rows: DataFrame, members: DataFrame, candidates: DataFrame, words:
 
     ``members``: (doc_id, row, set_key, node, n_shingles); ``candidates``: (node, root). A component that is no larger than a
     block is compared whole; of others, blocks of sets of similar size, each pair of them a task's work of bounded size.
+    A text goes to every pair that its block is in, which grows with the square of a component. So the pairs are dealt to
+    rounds, whose shuffle files are gone before the next: the disk that one takes follows the input.
     """
     roots = candidates.select(F.col("root").alias("node"), "root").distinct()
     nodes = candidates.unionByName(roots)
@@ -474,12 +478,17 @@ def verified(rows: DataFrame, members: DataFrame, candidates: DataFrame, words:
     # A block meets itself and every other of its tier.
     pair = lambda k: F.struct("root", "tier", F.least(own, k).alias("a"), F.greatest(own, k).alias("b"), F.when(own <= k, 0).otherwise(1).alias("side"))
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)
-    wanted = placed.join(sized, ["root", "tier"]).select("set_key", *ROW, cells.alias("cells"))
-
-    # Rows alike in doc_id and text give the same set; dropped where they meet.
-    near = Marks(wanted, *ROW).there(rows.select(*ROW, "text"))
-    dealt = near.join(wanted, ROW).select("text", "set_key", F.explode("cells").alias("c")).select("text", "set_key", "c.*")
-    dealt = dealt.repartition("root", "tier", "a", "b").sortWithinPartitions("root", "tier", "a", "b", "set_key")
+    wanted = checkpointed(placed.join(sized, ["root", "tier"]).select("root", "tier", "set_key", "n", "blocks", *ROW))
+    dealt_out, all_ = wanted.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0, each.agg(F.sum("n")).first()[0] or 0
+    rounds = max(1, ceil(dealt_out / max(1, DEALT * all_)))
+
+    def dealt(k: int) -> DataFrame:
+        here = F.filter(cells, lambda c: F.pmod(F.xxhash64(c.root, c.tier, c.a, c.b), F.lit(rounds)) == k)
+        some = wanted.select("set_key", *ROW, here.alias("cells")).where("size(cells) > 0")
+        # Rows alike in doc_id and text give the same set; dropped where they meet.
+        near = Marks(some, *ROW).there(rows.select(*ROW, "text"))
+        each_cell = near.join(some, ROW).select("text", "set_key", F.explode("cells").alias("c")).select("text", "set_key", "c.*")
+        return each_cell.repartition("root", "tier", "a", "b").sortWithinPartitions("root", "tier", "a", "b", "set_key")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def settle(group: dict[bytes, tuple[np.ndarray, int]]) -> list[tuple]:
@@ -499,7 +508,7 @@ def verified(rows: DataFrame, members: DataFrame, candidates: DataFrame, words:
         edges = settle(group) if len(group) > 1 else []
         yield batch(("u", "v"), ([e[0] for e in edges], [e[1] for e in edges]), (pa.binary(), pa.binary()))
 
-    return checkpointed(map_arrow(dealt, compare, "u binary, v binary"))
+    return reduce(DataFrame.unionByName, [checkpointed(map_arrow(dealt(k), compare, "u binary, v binary")) for k in range(rounds)])
 
 
 def classes(rows: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
