@@ -1,5 +1,6 @@
 import datetime as dt
 
+import duckdb
 import pytest
 
 from tidemark import ingest_queries, queries
@@ -55,3 +56,16 @@ def test_output_bound_is_of_points_before_padding(spark, tmp_path):
     for name, some, wanted in (("dense", rows, (2, 0)), ("empty", [], (0, 0))):
         spark.createDataFrame(some, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}/events.parquet")
         assert [tuple(r) for r in ingest_queries.queries()["output_bound"](spark, f"{tmp_path}/{name}").collect()] == [wanted]
+
+
+def same_as_sql(spark, sf_dir, name):
+    """Rows that only the query or only its SQL has: none."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf_dir}/events.parquet/*.parquet'")
+    wanted = con.execute(queries.oracle_sql()[name]).fetchall()
+    found = [tuple(r) for r in queries.queries()[name](spark, sf_dir).collect()]
+    assert wanted and sorted(found, key=repr) == sorted(wanted, key=repr)
+
+
+def test_negated_series_are_those_of_sql(spark, sf_dir):
+    same_as_sql(spark, sf_dir, "series_negate")
