@@ -69,3 +69,7 @@ def same_as_sql(spark, sf_dir, name):
 
 def test_negated_series_are_those_of_sql(spark, sf_dir):
     same_as_sql(spark, sf_dir, "series_negate")
+
+
+def test_filtered_series_are_those_of_sql(spark, sf_dir):
+    same_as_sql(spark, sf_dir, "where_equal")
